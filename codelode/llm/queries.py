@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import leakage, similar
+from codelode.llm import leakage, proseincode, similar
 from codelode.session import table
 
 
@@ -30,8 +30,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p1_passages(spark: SparkSession, d: str) -> DataFrame:
+    return proseincode.prose(table(spark, d, "files"), "file_id", "path", "text")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = p1_passages(spark, d).where(F.col("file_id").isNotNull())
+    return found.select("file_id", "line_no", "origin", "lang").distinct()
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    return proseincode.language_shares(p1_passages(spark, d), "file_id")
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_members": p4_members, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    return {"p1_found": p1_found, "p1_passages": p1_passages, "p1_shares": p1_shares, "p4_found": p4_found, "p4_members": p4_members, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 _P4_SQL = r"""
