@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import leakage, proseincode, similar
+from codelode.llm import leakage, markup, proseincode, similar
 from codelode.session import table
 
 
@@ -43,8 +43,30 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return proseincode.language_shares(p1_passages(spark, d), "file_id")
 
 
+def _marked_up(spark: SparkSession, d: str) -> DataFrame:
+    arch = table(spark, d, "arch")
+    react = table(spark, d, "findings").where(F.col("rule_id").startswith("react/"))
+    parts = [
+        df.where(F.col(key).isNotNull()).select(
+            F.lit(origin).alias("origin"), F.col(key).alias("row_id"), F.lit(field).alias("field"), F.col(field).alias("value")
+        )
+        for df, origin, key, field in (
+            (arch, "arch", "arch_id", "ko"), (arch, "arch", "arch_id", "en"), (react, "findings", "finding_id", "message"),
+        )
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.found_structures(_marked_up(spark, d)).distinct()
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.cleaned(_marked_up(spark, d)).distinct()
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_passages": p1_passages, "p1_shares": p1_shares, "p4_found": p4_found, "p4_members": p4_members, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    return {"p2_found": p2_found, "p2_clean": p2_clean, "p1_found": p1_found, "p1_passages": p1_passages, "p1_shares": p1_shares, "p4_found": p4_found, "p4_members": p4_members, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 _P4_SQL = r"""
