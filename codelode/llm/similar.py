@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.words import WORD, WordHashes, mix, words
+from codelode.session import cut
 
 THRESHOLD = 0.75
 ELL = 6
@@ -189,7 +190,7 @@ def _sentence_words(text) -> F.Column:
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(k, rep): each text's key, and the least key among the texts of the same words."""
-    ws = F.array_sort(words(F.col("t")))
+    ws = F.sort_array(words(F.col("t")))  # array_sort would compare through an interpreted lambda
     rows = (
         df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
         .where(F.col("k").isNotNull() & F.col("t").isNotNull())
@@ -197,8 +198,10 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
         .where(F.size("w") > 0)
         .select("k", F.xxhash64(F.lit(1), F.col("w")).alias("c1"), F.xxhash64(F.lit(2), F.reverse("w")).alias("c2"))
     )
+    # used many times below, and far smaller than the texts it is made of
+    rows = cut(rows)
     reps = rows.groupBy("c1", "c2").agg(F.min("k").alias("rep"))
-    return rows.join(reps, ["c1", "c2"]).select("k", "rep").distinct()
+    return cut(rows.join(reps, ["c1", "c2"]).select("k", "rep").distinct())
 
 
 def alike_classes(
@@ -210,8 +213,9 @@ def alike_classes(
     texts = (
         df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
         .where(F.col("k").isNotNull() & F.col("t").isNotNull())
-        .join(members.where(F.col("k") == F.col("rep")).select("k"), "k", "left_semi")
+        # before the join, so that all readers of its exchange share one pass over the texts
         .select("k", _sentence_words(F.col("t")).alias("w"))
+        .join(members.where(F.col("k") == F.col("rep")).select("k"), "k", "left_semi")
     )
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
