@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import leakage, markup, proseincode, similar
+from codelode.llm import leakage, markup, mixing, proseincode, residue, similar
 from codelode.session import table
 
 
@@ -65,8 +65,29 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.cleaned(_marked_up(spark, d)).distinct()
 
 
+def _mix(spark: SparkSession, d: str, tokenizer: str | None) -> tuple[DataFrame, DataFrame]:
+    counted = mixing.count_tokens(table(spark, d, "documents"), "doc_id", "source", "text", tokenizer or mixing.tokenizer_path())
+    return mixing.mix(counted, table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
+    return _mix(spark, d, tokenizer)[0].withColumnRenamed("k", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
+    return _mix(spark, d, tokenizer)[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents").where(F.col("doc_id").isNotNull()), "doc_id", "text")
+
+
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "source", "n_chars")
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_clean": p2_clean, "p1_found": p1_found, "p1_passages": p1_passages, "p1_shares": p1_shares, "p4_found": p4_found, "p4_members": p4_members, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    return {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_kept": p9_kept, "p2_found": p2_found, "p2_clean": p2_clean, "p1_found": p1_found, "p1_passages": p1_passages, "p1_shares": p1_shares, "p4_found": p4_found, "p4_members": p4_members, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 _P4_SQL = r"""
