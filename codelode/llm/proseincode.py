@@ -20,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -198,13 +199,14 @@ def resolved(text: str) -> str:
 _LEADER = {"py": re.compile(r"^#+!?[ \t]?"), "sql": re.compile(r"^(?:--+|//+)[ \t]?")}
 _SLASHES = re.compile(r"^//[/!]*[ \t]?")
 _STAR = re.compile(r"^[ \t]*\*+(?!/)[ \t]?", re.M)
-_BLANK = re.compile(r"[^\n]*\S")
+_NEWLINE = re.compile("\n")
 
 
 def passages(text: str, kind: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, origin, inner text) of each comment, run of line comments, and literal."""
     leader = _LEADER.get(kind, _SLASHES)
     run: list[str] = []
+    run_alone = True
     start = end = -1
     for m in _lexer(kind).finditer(text):
         group = m.lastgroup
@@ -213,12 +215,14 @@ def passages(text: str, kind: str) -> Iterator[tuple[int, int, str, str]]:
         if group == "line":
             s, e = m.span()
             own = leader.sub("", m.group().rstrip("\r"))
-            if run and text.count("\n", end, s) == 1 and not text[end:s].strip():
+            alone = not text[text.rfind("\n", 0, s) + 1 : s].strip("\ufeff \t")
+            # what stands behind code is a passage of its own
+            if run and alone and run_alone and text.count("\n", end, s) == 1 and not text[end:s].strip():
                 run.append(own)
             else:
                 if run:
                     yield start, end, "comment", "\n".join(run)
-                run, start = [own], s
+                run, start, run_alone = [own], s, alone
             end = e
             continue
         if group == "skip":
@@ -235,7 +239,8 @@ def passages(text: str, kind: str) -> Iterator[tuple[int, int, str, str]]:
         elif group == "raw":
             yield s, e, "literal", token[token.find('"') + 1 : token.rfind('"')] if kind == "rs" else token.strip("`")
         else:
-            yield s, e, "literal", resolved(token[1:-1])
+            closed = len(token) > 1 and token[-1] == token[0]
+            yield s, e, "literal", resolved(token[1:-1] if closed else token[1:])
     if run:
         yield start, end, "comment", "\n".join(run)
 
@@ -247,7 +252,7 @@ _HANGUL_RE, _KANA_RE = re.compile("[가-힣ᄀ-ᇿ㄰-㆏]"), re.compile("[ぁ-
 #: what stands in prose without being prose and without blanks around it
 _INSERTED = re.compile(r"<!?/?[A-Za-z][^<>\n]{0,200}>|\$?\{[^{}\n]*\}|&\w+;|^[ \t]*@\w+[^\n]*$", re.M)
 _NOT_PROSE = re.compile(
-    r"^\W*(?:eslint|istanbul|c8 ignore|v8 ignore|noqa|pylint|pyright|mypy|type:|fmt:|isort|flake8|ruff|nosec|nolint|go:|@ts-|ts-|tslint|prettier|jshint|jslint|biome|stylelint|"
+    r"^\s*\W*(?:eslint|istanbul|c8 ignore|v8 ignore|noqa|pylint|pyright|mypy|type:|fmt:|isort|flake8|ruff|nosec|nolint|go:|@ts-|ts-|tslint|prettier|jshint|jslint|biome|stylelint|"
     r"webpack|sourceMappingURL|SPDX|Copyright\b|\(c\)|©|Licensed under|All rights reserved|region\b|endregion|#\w|pragma|language=|noinspection|rustfmt|clippy|cspell|spell-?checker|"
     r"coding[:=]|-\*-|vim:|\+migrate|\+goose|\+build|!\d{5}|sqlfluff|NOSONAR|CHECKSTYLE|SuppressWarnings|"
     r"(?:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|GRANT|REVOKE|WITH|MERGE|TRUNCATE|SET)\s+[\w*\"`(])"
@@ -280,19 +285,20 @@ def _spoken_words(text: str) -> list[str]:
 
 def judge(inner: str, states: np.ndarray) -> str | None:
     """The language of a passage, or None if it is no prose."""
-    ascii_only = inner.isascii()
-    if not ascii_only:
+    lines = [x for x in inner.split("\n") if not _NOT_PROSE.match(x)]
+    inner = "\n".join(lines)
+    if not inner.isascii():
         letters = len(_CJK.findall(inner))
-        if letters >= MIN_CJK and not _NOT_PROSE.match(inner.lstrip()):
+        if letters >= MIN_CJK:
             hangul = len(_HANGUL_RE.findall(inner))
             return "ko" if hangul * 2 > letters else "ja" if _KANA_RE.search(inner) else "zh"
         if letters:
             return None
-    if _NOT_PROSE.match(inner.lstrip()):
-        return None
     if "<" in inner or "{" in inner or "&" in inner or "@" in inner:
         inner = _INSERTED.sub(" ", inner)
-    lines = [x for x in inner.split("\n") if not _CODE_LINE.search(x)] if _CODE_HINT.search(inner) else [inner]
+        lines = inner.split("\n")
+    if _CODE_HINT.search(inner):
+        lines = [x for x in lines if not _CODE_LINE.search(x)]
     ws = _spoken_words(" ".join(lines))
     if len(ws) < MIN_WORDS:
         return None
@@ -304,14 +310,14 @@ def judge(inner: str, states: np.ndarray) -> str | None:
         if v:
             stops += 1
             for i in v:
-                score[i] += 3.0 / len(v)
+                score[i] += 5.0 / len(v)
     counts = np.bincount(states, minlength=len(STATES)).tolist()
     total, spoken = sum(counts), sum(counts[1:])
     # the model must see language in it, unless its words alone leave no doubt
     if spoken < 0.3 * total and stops < max(2, 0.25 * len(ws)) or not stops and spoken < 0.7 * total:
         return None
     for i in _LATIN:
-        score[i] += counts[i] / 8.0
+        score[i] += counts[i] / 12.0
     best = max(_LATIN, key=score.__getitem__)
     return STATES[best] if score[best] > 0 else None
 
@@ -319,16 +325,16 @@ def judge(inner: str, states: np.ndarray) -> str | None:
 def file_passages(path: str | None, text: str, states: np.ndarray) -> Iterator[tuple[int, str, str, int]]:
     """(line, origin, language, characters) of each passage of prose."""
     ext = path.rsplit(".", 1)[-1].lower() if path and "." in path else ""
-    line, at = 1, 0
+    breaks = None
     for s, e, origin, inner in passages(text, _KIND.get(ext, "js")):
         # a phrase of three words has two gaps; scripts without gaps aren't ASCII
         if inner.isascii() and (len(inner) < 8 or len(inner.split(None, 2)) < 3):
             continue
         lang = judge(inner, states[s:e])
         if lang:
-            line += text.count("\n", at, s)
-            at = s
-            yield line, origin, lang, len(inner)
+            if breaks is None:
+                breaks = [m.start() for m in _NEWLINE.finditer(text)]
+            yield bisect_left(breaks, s) + 1, origin, lang, len(inner)
 
 
 def prose(df: DataFrame, key: str, path: str, text: str) -> DataFrame:

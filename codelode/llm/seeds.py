@@ -47,6 +47,10 @@ is not an error for the loader; a broken one is. Order matters here: first the i
 report. Two teams own the folder and neither tests it. Returns the number of items that were found, or zero.
 Since the thread shares its buffer with another, a late read can win the race. You should see what happens if
 users change their settings while we are still waiting for an answer. How should this work with what they have?
+The fallback hides one dead symbol per resolver. A dense entry under that folder costs extra passes. Reachable routes
+are merged before the linker compares them with a guarded copy. Its handler treats an unresolved alias as external.
+Rename the column before the scanner learns about it. The bucket count doubled when the policy was skipped twice. Every
+generated record gets a window of its own, keyed by its owner. The redaction step drops the loser and stays visible.
 """
 
 DE = """
