@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from codelode.plans import linking
+
+_PARTS = [linking]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.oracle_sql().items()}
