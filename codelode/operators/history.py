@@ -1,6 +1,6 @@
 """Commit history: per-path statistics, co-change, ownership, risk and lifecycle.
 
-commit_files: sha, at, author, path, added, deleted, tag.
+commit_files: sha, ts, author, path, added, deleted, tag.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ MIN_FILES, MAX_FILES, TOP_PARTNERS, RECENT_DAYS = 2, 25, 10, 30
 def path_stats(commit_files: DataFrame, now: Column) -> DataFrame:
     """Changes, churn, last change, authors and the same for the last RECENT_DAYS days, per path."""
     c = commit_files.groupBy("sha", "path").agg(
-        F.max("at").alias("at"), F.max("author").alias("author"), F.sum(F.col("added") + F.col("deleted")).alias("churn")
+        F.max("ts").alias("ts"), F.max("author").alias("author"), F.sum(F.col("added") + F.col("deleted")).alias("churn")
     )
-    recent = F.col("at") >= now - F.expr(f"INTERVAL {RECENT_DAYS} DAYS")
+    recent = F.col("ts") >= now - F.expr(f"INTERVAL {RECENT_DAYS} DAYS")
     return c.groupBy("path").agg(
-        F.count("*").alias("change_count"), F.sum("churn").alias("churn"), F.max("at").alias("last_modified"), F.count_distinct("author").alias("author_count"),
+        F.count("*").alias("change_count"), F.sum("churn").alias("churn"), F.max("ts").alias("last_modified"), F.count_distinct("author").alias("author_count"),
         F.count_if(recent).alias("recent_change_count"), F.coalesce(F.sum(F.when(recent, F.col("churn"))), F.lit(0)).alias("recent_churn"),
     )
 
@@ -34,7 +34,7 @@ def author_commits(commit_files: DataFrame) -> DataFrame:
 
 
 def history_window(commit_files: DataFrame) -> DataFrame:
-    return commit_files.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count_distinct("sha").alias("commits"))
+    return commit_files.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_distinct("sha").alias("commits"))
 
 
 def pair_counts(commit_files: DataFrame) -> DataFrame:

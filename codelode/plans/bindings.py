@@ -39,7 +39,7 @@ LOW_CONFIDENCE = [(r"^GET /api/v1/brand-1\d/", "generic path"), (r"/p\d$", "shor
 
 #: a commit is an order, a file a supplier
 COMMIT_FILES = """
-SELECT o_orderkey AS sha, o_orderdate AS at, o_custkey AS author, 's/' || (l_suppkey % 7) || '/t' || (l_suppkey % 3) || '/f' || l_suppkey || '.ts' AS path,
+SELECT o_orderkey AS sha, o_orderdate AS ts, o_custkey AS author, 's/' || (l_suppkey % 7) || '/t' || (l_suppkey % 3) || '/f' || l_suppkey || '.ts' AS path,
   CAST(l_quantity AS BIGINT) AS added, CAST(l_linenumber AS BIGINT) AS deleted, CASE l_returnflag WHEN 'R' THEN 'FIX' WHEN 'A' THEN 'FEAT' END AS tag
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
 

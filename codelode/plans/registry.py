@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codelode.plans import linking
+from codelode.plans import linking, repository
 
-_PARTS = [linking]
+_PARTS = [linking, repository]
 
 
 def queries() -> dict:
