@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codelode.plans import linking, repository
+from codelode.plans import linking, repository, scanning
 
-_PARTS = [linking, repository]
+_PARTS = [linking, repository, scanning]
 
 
 def queries() -> dict:
