@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codelode.plans import linking, repository, scanning
+from codelode.plans import ingesting, linking, repository, scanning
 
-_PARTS = [linking, repository, scanning]
+_PARTS = [linking, repository, scanning, ingesting]
 
 
 def queries() -> dict:
