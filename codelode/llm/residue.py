@@ -35,6 +35,7 @@ WEIGHTS = (0.06, 0.14, 0.3, 0.5)
 WINDOW, RATIO, COVERAGE = 16, 1.0, 0.7
 REPEATS, HINT = 5, 0.25  # a sentence said so often is filler; with that much coverage, said three times
 _SIZE = 1 << 19
+_PORTION = 100_000  # characters scored at once
 
 # --- signs that stand for what varies
 FIELD, EMPTY, NAME, INLINE = "", "", "", ""
@@ -106,17 +107,41 @@ def ratios(codes: np.ndarray) -> np.ndarray:
     return np.stack(logs[:-1]) - logs[-1]
 
 
-def coverage(r: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Share of a line's characters in windows whose mean ratio is high, for each kind."""
-    n = r.shape[1]
-    w = min(WINDOW, n)
-    c = np.concatenate([np.zeros((len(r), 1)), np.cumsum(r, axis=1)], axis=1)
-    hot = (c[:, w:] - c[:, :-w]) / w > RATIO
-    edge = np.zeros((len(r), n + 1))
-    edge[:, : n - w + 1] += hot
-    edge[:, w : n + 1] -= hot
-    inside = np.cumsum(edge[:, :-1], axis=1) > 0
-    return (inside * weight).sum(1) / max(1e-9, weight.sum())
+@cache
+def _weights() -> np.ndarray:
+    """Fields and values stand for a word each, blanks and stops for nearly nothing."""
+    w = np.array([1.0 if chr(i).isalnum() else 0.2 for i in range(0x10000)])
+    w[[ord(c) for c in (FIELD, EMPTY, NAME, INLINE)]] = 4.0
+    return w
+
+
+def coverage(forms: list[str]) -> np.ndarray:
+    """Per line and kind: the share of its characters in windows whose mean ratio is high."""
+    codes = _codes("\n".join(["", *forms, ""]))
+    r = ratios(codes)
+    size = np.array([len(f.lower()) for f in forms])
+    start = 1 + np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    line = np.full(len(codes), -1)
+    own = np.repeat(np.arange(len(forms)), size)
+    line[np.repeat(start, size) + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)] = own
+    weight = _weights()[np.minimum(codes, 0xFFFF).astype(np.int64)]
+    total = np.bincount(own, weights=weight[line >= 0], minlength=len(forms))
+    out = np.zeros((len(forms), len(r)))
+    whole = np.zeros(len(codes) + 1)
+    for k, ratio in enumerate(r):
+        np.cumsum(ratio, out=whole[1:])
+        n = len(codes) - WINDOW
+        inside = np.zeros(len(codes) + 1)
+        if n >= 0:
+            hot = ((whole[WINDOW:] - whole[:-WINDOW]) > RATIO * WINDOW) & (line[: n + 1] >= 0) & (line[: n + 1] == line[WINDOW - 1 :])
+            inside[: n + 1] += hot
+            inside[WINDOW : n + 1 + WINDOW] -= hot
+        covered = np.cumsum(inside[:-1]) > 0
+        # a line shorter than a window is one itself
+        mean = (whole[start + size] - whole[start]) / np.maximum(size, 1)
+        got = np.bincount(own, weights=(covered * weight)[line >= 0], minlength=len(forms)) / np.maximum(total, 1e-9)
+        out[:, k] = np.where(size < WINDOW, mean > RATIO, got)
+    return out
 
 
 _LEAD = re.compile(r"^\s*(?:#{1,6}\s+|[-*+]\s+|\d{1,3}[.)]\s+)*")
@@ -126,7 +151,8 @@ _SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*")
 
 def repeated(line: str, times_least: int = REPEATS) -> bool:
     """Is most of the line one sentence, or one pair of words, over and over?"""
-    if len(line) < 20:
+    line = _LEAD.sub("", line)
+    if len(line) < 20 or line.lower().count(line[:4].lower()) < min(times_least, 4):
         return False
     said = Counter(s.strip(" .!?。！？").lower() for s in _SENTENCE.findall(line))
     said.pop("", None)
@@ -140,10 +166,10 @@ def repeated(line: str, times_least: int = REPEATS) -> bool:
     return False
 
 
-def scored_lines(text: str) -> Iterator[tuple[str, str, np.ndarray]]:
-    """(line, its normal form, coverage by kind) of the lines that are the text's own content."""
+def own_lines(text: str) -> list[tuple[str, str]]:
+    """(line, its normal form) of the lines that are the text's own content."""
     fenced = False
-    lines, forms = [], []
+    out = []
     for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         if _FENCE.match(line):
             fenced = not fenced
@@ -152,33 +178,46 @@ def scored_lines(text: str) -> Iterator[tuple[str, str, np.ndarray]]:
             continue
         form = normal(_LEAD.sub("", line))
         if any(c.isalpha() or c in (FIELD, EMPTY) for c in form):
-            lines.append(line)
-            forms.append(form)
-    if not lines:
-        return
-    r = ratios(_codes("\n".join(["", *forms, ""])))
-    at = 1
-    for line, form in zip(lines, forms, strict=True):
-        n = len(form.lower())
-        # fields and values stand for a word each, blanks and stops for nothing
-        weight = np.array([4.0 if c in (FIELD, EMPTY, NAME, INLINE) else 1.0 if c.isalnum() else 0.2 for c in form.lower()])
-        yield line, form, coverage(r[:, at : at + n], weight)
-        at += n + 1
+            out.append((line, form))
+    return out
+
+
+def _kind(line: str, form: str, cover: np.ndarray) -> str | None:
+    best = int(cover.argmax())
+    if cover[best] >= COVERAGE:
+        return KINDS[best]
+    if repeated(line, 3 if cover[1] >= HINT else REPEATS):
+        return "filler"
+    return "placeholder" if _only_fields(form) else None
+
+
+def kinds_of(texts: list[str | None]) -> list[list[str]]:
+    """The kinds of each text; texts are scored together, in bounded portions."""
+    out: list[set] = [set() for _ in texts]
+    lines: list[tuple[int, str, str]] = []
+
+    def score() -> None:
+        if lines:
+            for (i, line, form), cover in zip(lines, coverage([f for _, _, f in lines]), strict=True):
+                k = _kind(line, form, cover)
+                if k:
+                    out[i].add(k)
+        lines.clear()
+
+    size = 0
+    for i, t in enumerate(texts):
+        for line, form in own_lines(t) if t else ():
+            lines.append((i, line, form))
+            size += len(form)
+            if size > _PORTION:
+                score()
+                size = 0
+    score()
+    return [sorted(s) for s in out]
 
 
 def kinds(text: str | None) -> list[str]:
-    if not text:
-        return []
-    found = set()
-    for line, form, cover in scored_lines(text):
-        best = int(cover.argmax())
-        if cover[best] >= COVERAGE:
-            found.add(KINDS[best])
-        elif repeated(line, 3 if cover[1] >= HINT else REPEATS):
-            found.add("filler")
-        elif _only_fields(form):
-            found.add("placeholder")
-    return sorted(found)
+    return kinds_of([text])[0]
 
 
 def _only_fields(form: str) -> bool:
@@ -193,8 +232,8 @@ def find_residue(df: DataFrame, key: str, text: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, out = [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for k in kinds(t):
+            for i, found in enumerate(kinds_of(batch.column(1).to_pylist())):
+                for k in found:
                     at.append(i)
                     out.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["k", "kind"])
