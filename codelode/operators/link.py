@@ -47,26 +47,25 @@ def wildcard_routes(provides: DataFrame) -> DataFrame:
 
 
 def covered_by(misses: DataFrame, routes: DataFrame) -> DataFrame:
-    """The misses with the first route that covers each (null if none): route_source, route_key, route_file, route_line.
+    """(join_key, route): the first route that covers each miss; misses that none covers are left out.
 
     Patterns are matched per distinct (verb, path); a pattern's literal lead, up to
     its first wildcard, is an equi-join key, so no miss meets every route.
     """
-    lead = F.regexp_extract("pattern", r"^/*((?:[^/*?{]+/)*)", 1)
+    lead = F.regexp_replace(F.regexp_extract("pattern", r"^/*((?:[^/*?{]+(?:/|$))*)", 1), "/$", "")
     r = routes.select(
-        "verb", lead.alias("lead"), F.size(F.split(lead, "/")).alias("depth"), "pattern",
+        "verb", lead.alias("lead"), F.when(lead == "", 0).otherwise(F.size(F.split(lead, "/"))).alias("depth"), "pattern",
         F.struct(F.col("source"), F.col("key"), F.col("file"), F.col("line")).alias("route"),
     )
-    r = r.groupBy("verb", "lead", "depth", "pattern").agg(F.min("route").alias("route"))
+    r = r.groupBy("verb", "lead", "depth", "pattern").agg(F.min("route").alias("route")).withColumn("regex", _ant_regex(F.col("pattern")))
+    depths = sorted(x["depth"] for x in r.select("depth").distinct().collect())  # a few small numbers
     m = misses.select("join_key").distinct().withColumn("verb", S.verb(F.col("join_key")))
     m = m.withColumn("path", F.regexp_replace(S.path_of(F.col("join_key")), "^/+", ""))
-    parts = F.split("path", "/")
-    # every lead a covering pattern may have is one of the path's own leads
-    leads = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.when(i > 0, "/").otherwise("")))
+    # a covering pattern's lead is that many segments of the path
+    count = F.length("path") - F.length(F.replace("path", F.lit("/"))) + 1
+    leads = F.array_compact(F.array(*[F.when(count >= k, F.substring_index("path", "/", k) if k else F.lit("")) for k in depths]).cast("array<string>"))
     met = m.withColumn("lead", F.explode(leads)).join(r, ["verb", "lead"])
-    regex = _ant_regex(F.col("pattern"))
-    hit = met.where(F.rlike(F.col("path"), regex)).groupBy("join_key").agg(F.min("route").alias("route"))
-    return misses.join(hit, "join_key", "left")
+    return met.where(F.rlike(F.col("path"), F.col("regex"))).groupBy("join_key").agg(F.min("route").alias("route"))
 
 
 def _ant_regex(pattern: Column) -> Column:
@@ -96,8 +95,7 @@ def classify(consumes: DataFrame, provides: DataFrame, hosts: list[str]) -> Data
     keys = provider_keys(provides)
     c = rekeyed(consumes, hosts).join(keys, ["kind", "join_key"], "left")
     missed = F.col("n_sources").isNull() & F.col("join_key").isNotNull() & ~F.col("is_external")
-    misses = c.where(missed & (F.col("kind") == "http")).select("join_key").distinct()
-    covers = covered_by(misses, wildcard_routes(provides)).where(F.col("route").isNotNull())
+    covers = covered_by(c.where(missed & (F.col("kind") == "http")).select("join_key"), wildcard_routes(provides))
     c = c.join(covers, "join_key", "left")
     bucket = (
         F.when(F.col("join_key").isNull(), "unresolved")

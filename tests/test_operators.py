@@ -29,6 +29,7 @@ def sides(spark):
         (5, "fe", "http", "GET /files/x/y", "u.ts", 5), (6, "fe", "http", "GET /{}/{}", "u.ts", 6), (7, "fe", "http", "GET /nope", "u.ts", 7), (8, "fe", "db-table", "users", "u.ts", 8),
         (9, "fe", "http", "GET http://Internal.example:8443/a?x=1", "u.ts", 9), (10, "fe", "http", "GET ws://internal.example/a", "u.ts", 10), (11, "fe", "http", "POST /a", "u.ts", 11),
         (12, "fe", "http", "GET /A", "u.ts", 12), (13, "fe", "http", "GET /api/v2/items/{}", "u.ts", 13), (14, "fe", "http", "GET /v1/items/{}", "u.ts", 14), (15, "fe", "http", "GET /api/v1/items/7", "u.ts", 15),
+        (16, "fe", "http", "GET /files", "u.ts", 16), (17, "fe", "http", "POST /files/x", "u.ts", 17),
     ]
     p, c = spark.createDataFrame(provides, P), spark.createDataFrame(consumes, C)
     return p, c, link.classify(c, p, HOSTS)
@@ -38,7 +39,7 @@ def test_buckets(sides):
     _, _, c = sides
     assert {r.id: r.bucket for r in c.collect()} == {
         1: "edge", 2: "unresolved", 3: "external", 4: "ambiguous", 5: "wildcard", 6: "unresolved", 7: "unprovided", 8: "edge", 9: "edge", 10: "external", 11: "unprovided", 12: "unprovided",
-        13: "unprovided", 14: "unprovided", 15: "unprovided",
+        13: "unprovided", 14: "unprovided", 15: "unprovided", 16: "wildcard", 17: "unprovided",
     }
 
 
@@ -47,7 +48,7 @@ def test_edges_and_leftovers(sides):
     e = link.edges(c, p, [(r"^GET /a$", "short")]).collect()
     assert sorted((r.from_line, r.to_line, r.low_confidence_reason) for r in e) == [(1, 1, "short"), (1, 9, "short"), (8, 6, None), (9, 1, "short"), (9, 9, "short")]
     assert [r.key for r in link.unconsumed(c, p).orderBy("key").collect()] == ["GET /api/v1/items/{}", "GET /dead"]
-    assert rows(link.host_rekeys(c)) == [("internal.example", 1)] and link.wildcard_partitions(c, p).first().covered == 1
+    assert rows(link.host_rekeys(c)) == [("internal.example", 1)] and link.wildcard_partitions(c, p).first().covered == 2
     assert link.ambiguous(c, p).first().shown == "be2:t.ts:3,be:s.ts:2"
 
 
