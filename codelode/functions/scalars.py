@@ -212,12 +212,15 @@ def folder_of(path: Column, depth: int) -> Column:
 
 #: classifiers of a subject without a bracketed tag, first match wins (fixed values)
 SUBJECT_TAGS = [
-    ("FIX", r"^(fix|bug|hotfix|revert)"),
-    ("FEAT", r"^(feat|add|implement|support)"),
-    ("REFACTOR", r"^(refactor|clean|rename|move|simplify)"),
-    ("DOCS", r"^(docs?|readme|comment)"),
-    ("TEST", r"^(tests?|spec)"),
-    ("CHORE", r"^(chore|build|ci|bump|release|deps?)"),
+    (r"^\s*revert(?:ed|s|ing)?\b", "REVERT"),
+    (r"^\s*(?:fix(?:ed|es|ing)?|bug\s?fix(?:ed|es)?|hotfix)\b", "FIX"),
+    (r"^\s*(?:feat(?:ure)?|add(?:ed|s)?|new|implement(?:ed|s|ation)?|introduce[ds]?)\b", "FEAT"),
+    (r"^\s*(?:refactor(?:ed|ing)?|cleanup|clean[\s-]?up|rework(?:ed)?|simplif(?:y|ied|ies))\b", "REFACTOR"),
+    (r"^\s*(?:perf(?:ormance)?|optimi[sz])", "PERF"),
+    (r"^\s*(?:docs?|documentation|readme)\b", "DOCS"),
+    (r"^\s*(?:tests?|testing|spec)\b", "TEST"),
+    (r"^\s*(?:chore|build|ci|bump|release|version|deps?)\b", "CHORE"),
+    (r"^\s*(?:style|lint|format|prettier)\b", "STYLE"),
 ]
 
 
@@ -225,7 +228,7 @@ def commit_tags(subject: Column) -> Column:
     """Bracketed tags, upper case; else the first classifier that fits the subject without its scope."""
     bracketed = F.transform(F.regexp_extract_all(subject, F.lit(r"\[([A-Za-z]+)\]"), F.lit(1)), F.upper)
     bare = F.lower(F.regexp_replace(F.trim(subject), r"^(\w+)\([^)]*\)", "$1"))
-    rule = F.coalesce(*[F.when(bare.rlike(p), F.lit(t)) for t, p in SUBJECT_TAGS])
+    rule = F.coalesce(*[F.when(bare.rlike(p), F.lit(t)) for p, t in SUBJECT_TAGS])
     return F.when(F.size(bracketed) > 0, bracketed).when(rule.isNotNull(), F.array(rule)).otherwise(F.array().cast("array<string>"))
 
 

@@ -20,11 +20,11 @@ def recommendations(nodes: DataFrame, fixes: DataFrame) -> DataFrame:
     """(rule, path, measure, roi, place): the first rows of every gate, by measure, ties by path."""
     n = nodes.join(fixes.withColumnRenamed("n", "fixes"), "path", "left").fillna(0, ["fixes"])
     gates = [
-        ("hot-churn", (F.col("loc") > 30) & (F.col("churn") > 10 * F.col("loc")), F.round(F.col("churn") / F.col("loc"), 3), 0.5, 1.0),
-        ("god-file", F.col("loc") > 220, F.col("loc").cast("double"), 0.4, 0.7),
-        ("knowledge-silo", F.col("author_count") >= 6, F.col("author_count").cast("double"), 0.2, 0.4),
-        ("versioning-candidate", (F.col("fan_in") >= 3) & (F.col("fixes") >= 3) & (F.col("lifecycle") == "Volatile"), F.col("fan_in").cast("double"), 0.3, 0.7),
-        ("fix-magnet", (F.col("change_count") >= 5) & (2 * F.col("fixes") >= F.col("change_count")), F.col("fixes").cast("double"), 0.3, 1.0),
+        ("hot-churn", (F.col("loc") > 30) & (F.col("churn") > 10 * F.col("loc")), F.round(F.col("churn") / F.col("loc"), 3), 0.5, 3.0),
+        ("god-file", F.col("loc") > 220, F.col("loc").cast("double"), 0.3, 2.0),
+        ("knowledge-silo", F.col("author_count") >= 6, F.col("author_count").cast("double"), 0.3, 1.0),
+        ("versioning-candidate", (F.col("fan_in") >= 3) & (F.col("fixes") >= 3) & (F.col("lifecycle") == "Volatile"), F.col("fan_in").cast("double"), 0.5, 2.0),
+        ("fix-magnet", (F.col("change_count") >= 5) & (2 * F.col("fixes") >= F.col("change_count")), F.col("fixes").cast("double"), 0.7, 2.0),
     ]
     found = F.array_compact(
         F.array(*[F.when(c & (F.col("change_count") > 0), F.struct(F.lit(r).alias("rule"), m.alias("measure"), roi(q, s).alias("roi"), F.lit(MAX_ROWS[r]).alias("most"))) for r, c, m, q, s in gates])

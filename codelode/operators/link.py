@@ -18,6 +18,20 @@ from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
 
+#: keys that many services share, so an edge over them says little (fixed values)
+GENERIC_REASON = "generic path shared by many services (health/ping/metrics/status/login)"
+GENERIC_KEYS = [
+    r"^[A-Z]+ /health$",
+    r"^[A-Z]+ /healthz$",
+    r"^[A-Z]+ /ping$",
+    r"^[A-Z]+ /metrics$",
+    r"^[A-Z]+ /status$",
+    r"^[A-Z]+ /login$",
+    r"^[A-Z]+ /logout$",
+    r"^[A-Z]+ /version$",
+    r"^[A-Z]+ /favicon\.ico$",
+]
+
 
 def rekeyed(consumes: DataFrame, hosts: list[str]) -> DataFrame:
     """Adds join_key, host (the declared host that matched) and is_external."""
@@ -109,8 +123,9 @@ def classify(consumes: DataFrame, provides: DataFrame, hosts: list[str]) -> Data
     return c.withColumn("bucket", bucket)
 
 
-def edges(classified: DataFrame, provides: DataFrame, low_confidence: list[tuple[str, str]]) -> DataFrame:
+def edges(classified: DataFrame, provides: DataFrame, low_confidence: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per provider of an edge consume's key. low_confidence: (regex, reason), the first match counts."""
+    low_confidence = [(k, GENERIC_REASON) for k in GENERIC_KEYS] if low_confidence is None else low_confidence
     reason = F.coalesce(*[F.when(F.col("join_key").rlike(p), F.lit(r)) for p, r in low_confidence], F.lit(None).cast("string"))
     p = provides.select(
         "kind", F.col("key").alias("join_key"), F.col("source").alias("to_source"), F.col("file").alias("to_file"), F.col("line").alias("to_line"), "symbol"

@@ -20,8 +20,22 @@ from codelode.functions import scalars as S
 
 #: comment leaders by extension (fixed values); `*` and the block opener count everywhere
 LEADERS = {"#": ("py", "rb", "sh", "yml", "yaml", "toml"), "--": ("sql", "lua", "hs"), "//": ()}
-BANNER = r"(?i)@generated|do not edit|auto-?generated"
-TEST_PATH = r"(?i)(^|/)(tests?|__tests__|spec|e2e|fixtures)/|[._-](test|spec)\.[a-z]+$|_test\.(go|py)$|(^|/)test_[^/]*\.py$"
+#: what a generated file says of itself in a comment of its first eight lines (fixed values)
+BANNERS = [
+    "@generated",
+    "auto-generated",
+    "autogenerated",
+    "automatically generated",
+    "code generated by",
+    "this file is generated",
+    "this file was generated",
+    "openapi-generator",
+]
+#: paths of tests (fixed value)
+TEST_PATH = (
+    r"(?i)((^|/)(e2e|tests?|__tests?__|spec|fixtures?|testing|cypress|playwright)/|\.tests?/|\.(test|spec)\.|[.-]spec\.|(^|/)(playwright|vitest|jest|cypress|vite)\.config\.|_test\.go$"
+    r"|(^|/)test_[^/]*\.py$|_test\.py$|(?-i:Tests?\.java$)|(?-i:(^|/)Test[A-Z][^/]*\.java$)|(?-i:Tests?\.cs$))"
+)
 LONG_LINE, HALF_LINE = 5000, 500
 
 
@@ -46,7 +60,7 @@ def shape(files: DataFrame) -> DataFrame:
     return f.select(
         "source", "path", F.size("lines").alias("loc"), longest.alias("longest"),
         ((longest >= LONG_LINE) | ((wide > 0) & (2 * wide >= total))).alias("minified"),
-        F.exists(F.slice("lines", 1, 8), lambda x: x.rlike(BANNER)).alias("generated"),
+        F.exists(F.slice("lines", 1, 8), lambda x: is_comment(x, extension(F.col("path"))) & _any_of(F.lower(x), BANNERS)).alias("generated"),
     )
 
 
@@ -60,6 +74,10 @@ def is_test(path: Column) -> Column:
     return path.rlike(TEST_PATH)
 
 
+def _any_of(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

@@ -104,7 +104,22 @@ def god_file(files: DataFrame, limit: int = 150) -> DataFrame:
 
 
 #: weight of each metric in the health index (fixed values)
-WEIGHTS = {"cohesion": 2.0, "coupling": 2.0, "sdp": 1.5, "modularity": 1.5, "hierarchy": 1.0, "sibling_cross": 1.0, "public_api": 1.2, "file_size": 1.0, "god_file": 1.4}
+WEIGHTS = {
+    "circular": 3.0,
+    "feature_sliced_design": 2.5,
+    "public_api": 2.0,
+    "hierarchy": 2.0,
+    "sdp": 2.0,
+    "sibling_cross": 1.5,
+    "god_file": 1.5,
+    "file_size": 1.0,
+    "diamond": 1.0,
+    "main_sequence": 0.5,
+    "modularity": 0.5,
+    "cohesion": 0.5,
+    "rename_instability": 0.3,
+    "bus_factor": 0.3,
+}
 
 
 def all_scores(edges: DataFrame, files: DataFrame, n_cycles: int) -> DataFrame:
@@ -115,8 +130,23 @@ def all_scores(edges: DataFrame, files: DataFrame, n_cycles: int) -> DataFrame:
 
 
 def health(scores: DataFrame) -> DataFrame:
-    """Weighted mean over the metrics that measured something; null if none did."""
+    """(pain, measured_weight, total_weight): weighted gaps of what was measured, scaled to the whole table; null if nothing was.
+
+    A metric without population leaves the weighting; one without a weight never enters it.
+    """
     w = F.coalesce(*[F.when(F.col("metric") == k, F.lit(v)) for k, v in WEIGHTS.items()])
     s = scores.where((F.col("population") > 0) & w.isNotNull()).withColumn("w", w)
-    total = s.agg(F.sum(F.round(F.col("score") * F.col("w"), 2)).alias("points"), F.sum("w").alias("weight"))
-    return total.select(F.round(F.col("points") / F.col("weight"), 1).alias("health"), F.round("weight", 1).alias("measured"))
+    points = F.round(F.col("w") * (100 - F.col("score")) / 10, 2)
+    total = round(sum(WEIGHTS.values()), 1)
+    g = s.agg(F.sum(points).alias("points"), F.sum("w").alias("weight"))
+    return g.select(
+        F.round(F.col("points") * total / F.col("weight"), 1).alias("pain"), F.round(F.coalesce("weight", F.lit(0.0)), 1).alias("measured_weight"), F.lit(total).alias("total_weight")
+    )
+
+
+def main_sequence(edges: DataFrame, files: DataFrame, abstract: DataFrame) -> DataFrame:
+    """File-weighted distance |A + I - 1| of modules. abstract: module, a (share of abstract symbols)."""
+    m = files.groupBy(module_of(F.col("path")).alias("module")).agg(F.count("*").alias("files"))
+    m = m.join(instability(edges).select("module", "i"), "module", "left").join(abstract, "module", "left").fillna(0)
+    s = m.agg(F.count("*").alias("population"), F.sum(F.abs(F.col("a") + F.col("i") - 1) * F.col("files")).alias("d"), F.sum("files").alias("f"))
+    return s.select(F.lit("main_sequence").alias("metric"), "population", F.round("d", 3).alias("hits"), F.round(F.coalesce(100 * (1 - F.col("d") / F.col("f")), F.lit(100.0)), 1).alias("score"))

@@ -26,11 +26,11 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     gates = [
-        ("hot-churn", "loc > 30 AND churn > 10 * loc", "round(churn / loc, 3)", 0.5, 1.0),
-        ("god-file", "loc > 220", "loc", 0.4, 0.7),
-        ("knowledge-silo", "author_count >= 6", "author_count", 0.2, 0.4),
-        ("versioning-candidate", "fan_in >= 3 AND fixes >= 3 AND lifecycle = 'Volatile'", "fan_in", 0.3, 0.7),
-        ("fix-magnet", "change_count >= 5 AND 2 * fixes >= change_count", "fixes", 0.3, 1.0),
+        ("hot-churn", "loc > 30 AND churn > 10 * loc", "round(churn / loc, 3)", 0.5, 3.0),
+        ("god-file", "loc > 220", "loc", 0.3, 2.0),
+        ("knowledge-silo", "author_count >= 6", "author_count", 0.3, 1.0),
+        ("versioning-candidate", "fan_in >= 3 AND fixes >= 3 AND lifecycle = 'Volatile'", "fan_in", 0.5, 2.0),
+        ("fix-magnet", "change_count >= 5 AND 2 * fixes >= change_count", "fixes", 0.7, 2.0),
     ]
     rows = " UNION ALL ".join(
         f"SELECT '{n}' AS rule, path, CAST({m} AS DOUBLE) AS measure, round(CAST(risk * {q} * {s} / greatest(loc + 3 * fan_in, 10) AS DOUBLE), 6) AS roi, {advice.MAX_ROWS[n]} AS most FROM n WHERE {c} AND change_count > 0"

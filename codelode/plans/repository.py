@@ -149,6 +149,6 @@ def oracle_sql() -> dict[str, str]:
         "scores": _SCORES + " SELECT * FROM scores",
         "health": _SCORES
         + ", w(metric, w) AS (VALUES "
-        + ", ".join(f"('{k}', {v})" for k, v in scores.WEIGHTS.items())
-        + ") SELECT round(sum(round(score * w, 2)) / sum(w), 1) AS health, round(sum(w), 1) AS measured FROM scores JOIN w USING (metric) WHERE population > 0",
+        + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in scores.WEIGHTS.items())
+        + ") SELECT round(sum(round(w * (100 - score) / 10, 2)) * 18.6 / sum(w), 1) AS pain, round(sum(w), 1) AS measured_weight, CAST(18.6 AS DOUBLE) AS total_weight FROM scores JOIN w USING (metric) WHERE population > 0",
     }

@@ -116,10 +116,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "file_shape": _LINES
         + """, z AS (SELECT path, len(ls) AS loc, coalesce(list_max([strlen(x) FOR x IN ls]), 0) AS longest, coalesce(list_sum([strlen(x) FOR x IN ls]), 0) AS total,
-            coalesce(list_sum([strlen(x) FOR x IN ls IF strlen(x) >= 500]), 0) AS wide, len([x FOR x IN ls[1:8] IF regexp_matches(x, '(?i)@generated|do not edit|auto-?generated')]) > 0 AS generated FROM f)
+            coalesce(list_sum([strlen(x) FOR x IN ls IF strlen(x) >= 500]), 0) AS wide, len([x FOR x IN ls[1:8] IF regexp_matches(lower(x), '@generated|auto-generated|autogenerated|automatically generated|code generated by|this file is generated|this file was generated|openapi-generator')
+              AND regexp_matches(x, CASE WHEN ext = 'py' THEN '^\\s*(#|/[*]|[*])' WHEN ext = 'sql' THEN '^\\s*(--|/[*]|[*])' ELSE '^\\s*(//|/[*]|[*])' END)]) > 0 AS generated FROM f)
           SELECT longest >= 5000 OR (wide > 0 AND 2 * wide >= total) AS minified, generated, count(*) AS files, sum(loc) AS loc, max(z.longest) AS longest FROM z GROUP BY 1, 2""",
         "coverage_census": r"""SELECT lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) AS ext, count(*) AS files, count(*) FILTER (WHERE text IS NULL) AS unread,
-          count(*) FILTER (WHERE regexp_matches(path, '(?i)(^|/)(tests?|__tests__|spec|e2e|fixtures)/|[._-](test|spec)\.[a-z]+$|_test\.(go|py)$|(^|/)test_[^/]*\.py$')) AS tests FROM files GROUP BY 1""",
+          count(*) FILTER (WHERE regexp_matches(path, '""" + rules.TEST_PATH + r"""')) AS tests FROM files GROUP BY 1""",
         "line_scan": _LINES + " " + " UNION ALL ".join(_line_sql(r) for r in LINE_RULES),
         "io_scan": ctes("consumes") + " SELECT id, key FROM consumes WHERE key IS NULL OR NOT regexp_matches(key, '^GET /api')",
         "attribute_lookup": ctes("nodes") + """ SELECT id, path, CASE WHEN starts_with(path, 'pkg1/m1/brand-12/') THEN 'd' WHEN starts_with(path, 'pkg1/m1/') THEN 'b' WHEN starts_with(path, 'pkg1/') THEN 'a'

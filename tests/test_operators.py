@@ -108,7 +108,7 @@ def test_diamonds_and_seams(spark):
 def test_scores_of_nothing(spark):
     e, f = spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([], "path string, loc long")
     s = scores.all_scores(e, f, 0).collect()
-    assert all(r.population == 0 and r.score == 100 for r in s) and scores.health(scores.all_scores(e, f, 0)).first().health is None
+    assert all(r.population == 0 and r.score == 100 for r in s) and scores.health(scores.all_scores(e, f, 0)).first().pain is None
 
 
 def test_rules(spark):

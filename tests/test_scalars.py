@@ -13,9 +13,9 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(
     ("method", "path", "key"),
     [
-        ("get", "authen/getUserInfo", "GET /authen/getUserInfo"), ("get", "/users/{id}", "GET /users/{}"), ("get", "/users/:id", "GET /users/{}"), ("post", "//a//b/", "POST /a/b"),
-        ("get", "", "GET /"), ("post", "/v1/users/{id}:activate", "POST /v1/users/{}:activate"), ("post", "/v1/users:batchGet", "POST /v1/users:batchGet"),
-        ("get", "/flights/:from-:to", "GET /flights/{}-{}"), ("get", "/plantae/:genus.:species", "GET /plantae/{}.{}"), ("get", "/a/b:c", "GET /a/b:c"), ("get", None, "GET /"),
+        ("get", "account/readProfile", "GET /account/readProfile"), ("get", "/users/{id}", "GET /users/{}"), ("get", "/users/:id", "GET /users/{}"), ("post", "//a//b/", "POST /a/b"),
+        ("get", "", "GET /"), ("post", "/v1/rows/{id}:freeze", "POST /v1/rows/{}:freeze"), ("post", "/v1/rows:readMany", "POST /v1/rows:readMany"),
+        ("get", "/trips/:start-:end", "GET /trips/{}-{}"), ("get", "/birds/:family.:kind", "GET /birds/{}.{}"), ("get", "/a/b:c", "GET /a/b:c"), ("get", None, "GET /"),
     ],
 )
 def test_http_keys(spark, method, path, key):
