@@ -42,6 +42,7 @@ SKETCHES = 32
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(2**64 - 1)
+_WIDE = 1 << 21  # words times sketches of one text that are held at once
 
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 
@@ -65,6 +66,10 @@ def sketches(texts: list[list[np.ndarray]], seeds: np.ndarray, ell: int) -> np.n
     sentence = np.repeat(np.arange(sum(map(len, texts))), [len(r) for t in texts for r in t])
     element = _labelled(flat, doc)
     start = np.concatenate(([0], np.cumsum(lengths)))
+    if len(seeds) > 1 and lengths.max() * len(seeds) > _WIDE:  # very long texts go through a few seeds at a time
+        step = max(1, _WIDE // int(lengths.max()))
+        if step < len(seeds):
+            return np.concatenate([sketches(texts, seeds[i : i + step], ell) for i in range(0, len(seeds), step)], axis=1)
     out = np.empty((len(texts), len(seeds)), np.uint64)
     by_length = np.argsort(lengths, kind="stable")
     at = 0

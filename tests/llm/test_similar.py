@@ -103,3 +103,11 @@ def test_sketches_of_one_text_do_not_depend_on_its_batch():
     together = similar.sketches(texts, seeds, 4)
     alone = np.concatenate([similar.sketches([t], seeds, 4) for t in texts])
     assert (together == alone).mean() > 0.98
+
+
+def test_sketches_of_very_long_texts(monkeypatch):
+    h, seeds = WordHashes(), mix(np.arange(1, 9, dtype=np.uint64))
+    texts = [[h([f"w{i % 301}" for i in range(5000)])], [h(["a", "b", "a"])]]
+    whole = similar.sketches(texts, seeds, 4)
+    monkeypatch.setattr(similar, "_WIDE", 9000)
+    assert np.array_equal(similar.sketches(texts, seeds, 4), whole)
