@@ -41,7 +41,8 @@ def rekeyed(consumes: DataFrame, hosts: list[str]) -> DataFrame:
     for h in reversed(hosts):  # the first declared host wins
         hit = F.lower(authority) == h.lower() if ":" in h else bare == h.lower()
         matched = F.when(hit & scheme.isin("http", "https"), F.lit(h)).otherwise(matched)
-    out = consumes.withColumn("host", matched)
+    # most keys are no URLs, and a search for a constant is far cheaper than a regex
+    out = consumes.withColumn("host", F.when(F.col("key").contains("://"), matched))
     own = S.http_consume_key(S.verb(F.col("key")), S.url_path(F.col("key")))
     return out.withColumn("is_external", F.coalesce(F.col("key").contains("://") & F.col("host").isNull(), F.lit(False))).withColumn(
         "join_key", F.when(F.col("host").isNotNull(), own).otherwise(F.col("key"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelode.operators import advice, graph, history
+from codelode.operators import advice, crossrules, graph, history
 from codelode.plans import repository as r
 from codelode.plans.bindings import relation
 from codelode.session import table
@@ -15,8 +15,23 @@ def _advice(s, d):
     return advice.recommendations(r._nodes(s, d), fixes)
 
 
+def _masked(s, d):
+    """Provides of which every third route has a placeholder at its end."""
+    return relation(s, d, "provides").withColumn("key", F.when(F.col("line") % 3 == 0, F.regexp_replace("key", "/p[0-9]+$", "/{}")).otherwise(F.col("key")))
+
+
+def _rule_fields(s, d):
+    t = table(s, d, "rule_defs").where(F.col("rule_id").isNotNull())
+    return t.select("source", F.col("pack").alias("key"), F.explode(F.split("rule_id", "[-]")).alias("field"))
+
+
 def queries() -> dict:
     return {
+        "sensitive_fields": lambda s, d: crossrules.sensitive_fields(_rule_fields(s, d), table(s, d, "pack_files").select(F.col("pack").alias("key"))),
+        "shadowed_across": lambda s, d: crossrules.shadowed_across(_masked(s, d)),
+        "silent_sources": lambda s, d: crossrules.silent_sources(
+            table(s, d, "files").where(F.col("text").contains("app.get(")).select("source", "path"), table(s, d, "files").where(F.col("text").contains("HandleFunc(")).select("source")
+        ),
         "recommendations": _advice,
         "recommendations_escalated": lambda s, d: advice.escalated(_advice(s, d), r._stats(s, d).where("author_count % 2 = 0").select("path")).groupBy("rule").agg(F.count("*").alias("n")),
         "dead_candidates": lambda s, d: advice.dead_candidates(graph.degrees(r._paths(s, d)), s.createDataFrame([], "path string, change_count long"), "brand-1[0-3]/"),
@@ -39,7 +54,13 @@ def oracle_sql() -> dict[str, str]:
     head = f"""{r._C}, {r._STATS}, {r._PAIRS}, {r._NODE}, fx AS (SELECT path, count(DISTINCT sha) AS fixes FROM commit_files WHERE tag = 'FIX' GROUP BY path),
       n AS (SELECT nm.*, coalesce(fixes, 0) AS fixes FROM nm LEFT JOIN fx USING (path)), a AS ({rows}),
       adv AS (SELECT rule, path, measure, roi, place FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY measure DESC, path) AS place FROM a) WHERE place <= most)"""
+    masked = r.ctes("provides") + r""", p AS (SELECT DISTINCT source, CASE WHEN line % 3 = 0 THEN regexp_replace(key, '/p[0-9]+$', '/{}') ELSE key END AS key FROM provides WHERE key NOT LIKE '%*%')"""
     return {
+        "sensitive_fields": r"""WITH f AS (SELECT DISTINCT source, pack AS key, unnest(string_split(rule_id, '-')) AS field FROM rule_defs WHERE rule_id IS NOT NULL)
+          SELECT source, key, field, key IN (SELECT pack FROM pack_files) AS consumed FROM f
+          WHERE regexp_matches(lower(field), 'password|secret|privatekey|creditcard|(token|apikey|hash)$') OR lower(field) IN ('token', 'ssn', 'pin', 'cvv', 'session')""",
+        "shadowed_across": masked + r""" SELECT a.source, a.key, b.source AS by_source, b.key AS by_key FROM p a JOIN p b ON a.source <> b.source AND a.key NOT LIKE '%{}' AND b.key LIKE '%{}' AND regexp_replace(a.key, '/[^/]*$', '/{}') = b.key""",
+        "silent_sources": "SELECT source, count(DISTINCT path) AS files FROM files WHERE contains(text, 'app.get(') AND source IS NOT NULL AND source NOT IN (SELECT source FROM files WHERE contains(text, 'HandleFunc(') AND source IS NOT NULL) GROUP BY source HAVING count(DISTINCT path) >= 3",
         "recommendations": head + " SELECT * FROM adv",
         "recommendations_escalated": head + " SELECT CASE WHEN author_count % 2 = 0 THEN 'escalated' ELSE rule END AS rule, count(*) AS n FROM adv JOIN stats USING (path) GROUP BY 1",
         "dead_candidates": r._G + " SELECT src AS path, count(DISTINCT dst) AS fan_out FROM pe WHERE src NOT IN (SELECT dst FROM pe) AND NOT regexp_matches(src, 'brand-1[0-3]/') GROUP BY src",

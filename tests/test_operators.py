@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codelode.operators import compose, findings, graph, history, link, nearmiss, routes, rules, scores
+from codelode.operators import compose, crossrules, findings, graph, history, link, nearmiss, routes, rules, scores
 from codelode.plans.bindings import HOSTS, relation
 from codelode.sources import code, envelope, gitlog
 from codelode.streaming import incremental
@@ -197,3 +197,14 @@ def test_incremental_store_and_feed(spark, tmp_path):
     spark.createDataFrame([("a", "x"), ("b", "changed")], files.schema).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert seen == [2, 1]
+
+
+def test_cross_rules(spark):
+    p = spark.createDataFrame([("a", "http", "GET /x/y", "f", 1, ""), ("b", "http", "GET /x/{}", "f", 1, ""), ("a", "http", "GET /x/{}", "f", 2, ""), ("b", "http", "GET /{}/{}", "f", 3, "")], P)
+    assert rows(crossrules.shadowed_across(p)) == [("a", "GET /x/y", "b", "GET /x/{}")]
+    r = spark.createDataFrame([("s", "k", "user_password"), ("s", "k", "Pin"), ("s", "k2", "refresh-token"), ("s", "k2", "pinned")], "source string, key string, field string")
+    assert rows(crossrules.sensitive_fields(r, spark.createDataFrame([("k",)], "key string"))) == [("s", "k", "Pin", True), ("s", "k", "user_password", True), ("s", "k2", "refresh-token", False)]
+    e = spark.createDataFrame([("POST /a", True), ("POST /b", True), ("GET /c", True), ("PUT /d", False)], "key string, retry_configured boolean")
+    assert rows(crossrules.retried_writes(e, spark.createDataFrame([("POST /b",)], "key string"))) == [("POST /a", True)]
+    m = spark.createDataFrame([("s", "1"), ("s", "2"), ("s", "3"), ("t", "1")], "source string, path string")
+    assert rows(crossrules.silent_sources(m, m.where("source = 't'"))) == [("s", 3)]
