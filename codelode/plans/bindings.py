@@ -16,13 +16,17 @@ SELECT 'n' || (p_partkey % 25) AS source, 'http' AS kind,
 FROM part
 UNION ALL
 SELECT 'n' || ((p_partkey + 3) % 25), 'http', 'GET ' || {_PATH}, 'src/x' || (p_partkey % 40) || '.ts', p_partkey, 'x' || p_partkey
-FROM part WHERE p_size >= 46"""
+FROM part WHERE p_size >= 46
+UNION ALL
+SELECT 'n' || (p_partkey % 25), 'http', 'DELETE ' || {_PATH}, 'src/d' || (p_partkey % 40) || '.ts', p_partkey, 'd' || p_partkey
+FROM part WHERE p_size <= 9"""
 
 CONSUMES = f"""
 SELECT l_orderkey * 100 + l_linenumber AS id, 'c' || (o_custkey % 5) AS source, 'http' AS kind,
   CASE (l_orderkey + l_linenumber) % 12
     WHEN 0 THEN NULL
-    WHEN 1 THEN 'GET https://vendor' || (l_partkey % 9) || CASE WHEN l_suppkey % 2 = 0 THEN '.one' ELSE '.two' END || '.example/v' || (l_partkey % 2 + 1) || '/x' || (l_suppkey % 5)
+    WHEN 1 THEN 'GET https://vendor' || (l_partkey % 9) || CASE WHEN l_suppkey % 2 = 0 THEN '.one' ELSE '.two' END || '.example' ||
+      CASE WHEN l_suppkey % 10 = 0 THEN {_PATH} ELSE '/v' || (l_partkey % 2 + 1) || '/x' || (l_suppkey % 5) END
     WHEN 2 THEN 'GET /{{}}'
     WHEN 3 THEN 'POST ' || {_PATH}
     WHEN 4 THEN 'GET /api/v' || (2 - p_size % 2) || '/' || replace(lower(p_brand), '#', '-') || '/p' || p_partkey
