@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.session import table
+from codelode.session import spread, table
 
 _PATH = "'/api/v' || (p_size % 2 + 1) || '/' || replace(lower(p_brand), '#', '-') || '/p' || p_partkey"
 
@@ -74,7 +74,7 @@ def relation(spark: SparkSession, d: str, name: str) -> DataFrame:
     braces = text.replace("{", "{{").replace("}", "}}")
     for t in used:
         braces = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", braces)
-    df = spark.sql(braces, **{t: table(spark, d, t) for t in used})
+    df = spark.sql(braces, **{t: spread(table(spark, d, t)) if t == "lineitem" else table(spark, d, t) for t in used})
     # a generator, so that later projections don't copy the binding's expressions over and over
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 

@@ -8,7 +8,7 @@ from codelode.operators import findings as fd
 from codelode.operators import link, rules
 from codelode.plans.bindings import HOSTS, relation
 from codelode.plans.linking import _LINK
-from codelode.session import table
+from codelode.session import spread, table
 
 LINE_RULES = [
     {"id": "sql-in-string", "severity": "warning", "file_pattern": r"(?i)\.(tsx?|m?js)$", "line_pattern": r"SELECT \w+ FROM", "skip_comment_lines": True},
@@ -24,7 +24,7 @@ GLOBS = ["core/**", "**/*.{sql,py}"]
 
 
 def _files(s, d):
-    return table(s, d, "files")
+    return spread(table(s, d, "files"))
 
 
 def _now(s, d):
