@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
+from codelode.sources.spans import function_bodies
 
 #: comment leaders by extension (fixed values); `*` and the block opener count everywhere
 LEADERS = {"#": ("py", "rb", "sh", "yml", "yaml", "toml"), "--": ("sql", "lua", "hs"), "//": ()}
@@ -122,17 +123,9 @@ def line_scan(files: DataFrame, rules: list[dict]) -> DataFrame:
     return out.select("h.rule_id", "h.severity", "source", "path", "line", "h.label", "snippet")
 
 
-#: where a function begins, by language family (fixed values)
-FUNCTION = r"^\s*(export\s+)?(default\s+)?(async\s+)?function\s+(\w+)|^func\s+(\w+)|^\s*(pub\s+)?fn\s+(\w+)|^\s*(async\s+)?def\s+(\w+)"
-
-
 def function_spans(files: DataFrame) -> DataFrame:
-    """(source, path, start, end, body): each function from its head to the line before the next head."""
-    f = files.where(F.col("text").isNotNull()).withColumn("lines", split_lines(F.col("text")))
-    heads = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(FUNCTION), i)), lambda i: i.isNotNull())
-    f = f.withColumn("heads", heads).select("source", "path", "lines", "heads", F.posexplode("heads").alias("n", "first"))
-    stop = F.coalesce(F.get("heads", F.col("n") + 1), F.size("lines"))
-    return f.select("source", "path", (F.col("first") + 1).alias("start"), stop.alias("end"), F.slice("lines", F.col("first") + 1, stop - F.col("first")).alias("body"))
+    """(source, path, start, end, body): each function, method and named arrow function, from its head to the end of its body."""
+    return function_bodies(files)
 
 
 def _places(lines: str, pattern: str) -> Column:
