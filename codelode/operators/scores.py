@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
+from codelode.operators import graph, history
 
 
 def module_of(path: Column) -> Column:
@@ -122,9 +123,34 @@ WEIGHTS = {
 }
 
 
-def all_scores(edges: DataFrame, files: DataFrame, n_cycles: int) -> DataFrame:
+def circular(edges: DataFrame, n_cycles: int) -> DataFrame:
+    """100 without cycles and 0 with any, over files that import."""
+    s = edges.agg(F.count_distinct("src").alias("population"))
+    return s.select(F.lit("circular").alias("metric"), "population", F.lit(float(n_cycles)).alias("hits"), F.when((F.col("population") > 0) & F.lit(n_cycles > 0), 0.0).otherwise(100.0).alias("score"))
+
+
+def diamond(edges: DataFrame) -> DataFrame:
+    """100 less 2 for each diamond, over files that import."""
+    s = edges.agg(F.count_distinct("src").alias("population")).join(F.broadcast(graph.diamonds(edges).agg(F.count("*").alias("hits"))), how="cross")  # one row
+    return s.select(F.lit("diamond").alias("metric"), "population", F.col("hits").cast("double"), F.greatest(F.lit(0.0), 100 - 2.0 * F.col("hits")).alias("score"))
+
+
+def bus_factor(stats: DataFrame) -> DataFrame:
+    """Share of files with one author among those that change often."""
+    return _ratio_score(history.bus_factor(stats), "bus_factor", F.coalesce(F.sum("population"), F.lit(0)), F.sum("hits"))
+
+
+def _unmeasured(files: DataFrame, metric: str) -> DataFrame:
+    return _ratio_score(files.limit(0), metric, F.count("*"), F.lit(0))
+
+
+def all_scores(edges: DataFrame, files: DataFrame, n_cycles: int, stats: DataFrame | None = None, abstract: DataFrame | None = None) -> DataFrame:
+    """All metrics; without stats (history per path) or abstract (as main_sequence takes it) theirs have no population."""
     parts = [
         cohesion(edges, files), coupling(edges, n_cycles), stable_dependencies(edges), modularity(edges), hierarchy(edges), sibling_cross(edges), public_api(edges), file_size(files), god_file(files),
+        circular(edges, n_cycles), diamond(edges),
+        bus_factor(stats) if stats is not None else _unmeasured(files, "bus_factor"),
+        main_sequence(edges, files, abstract) if abstract is not None else _unmeasured(files, "main_sequence"),
     ]
     return reduce(DataFrame.unionByName, [p.select("metric", F.col("population").cast("bigint"), F.col("hits").cast("double"), "score") for p in parts])
 

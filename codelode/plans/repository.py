@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codelode.operators import graph, history, scores
 from codelode.plans.bindings import ctes, relation
+from codelode.session import cut
 
 NOW = "TIMESTAMP '1998-08-01 00:00:00'"
 
@@ -33,6 +34,12 @@ def _nodes(s, d):
     return history.node_metrics(st, loc, deg, F.expr(NOW))
 
 
+def _scores(s, d):
+    n_cycles = graph.cycles(graph.scc(relation(s, d, "dep_edges"))).count()
+    # each metric reads the edges and files again: they are made once, and the driver's plan stays small
+    return scores.all_scores(cut(_paths(s, d)), cut(relation(s, d, "nodes")), n_cycles, cut(_stats(s, d)))
+
+
 def queries() -> dict:
     return {
         "git_path_stats": lambda s, d: _stats(s, d),
@@ -56,8 +63,8 @@ def queries() -> dict:
         "diamonds": lambda s, d: graph.diamonds(relation(s, d, "dep_edges")),
         "folder_edges": lambda s, d: graph.folder_edges(_paths(s, d), 1),
         "seams": lambda s, d: graph.seams(_paths(s, d), relation(s, d, "nodes"), _paths(s, d).select(F.col("src").alias("a"), F.col("dst").alias("b")), 2),
-        "scores": lambda s, d: scores.all_scores(_paths(s, d), relation(s, d, "nodes"), 0),
-        "health": lambda s, d: scores.health(scores.all_scores(_paths(s, d), relation(s, d, "nodes"), 0)),
+        "scores": _scores,
+        "health": lambda s, d: scores.health(_scores(s, d)),
     }
 
 
