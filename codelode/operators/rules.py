@@ -160,7 +160,8 @@ def literals(files: DataFrame) -> DataFrame:
     """(source, path, line, name, value_hash, entropy, named): string values bound to a name; the value itself isn't kept."""
     pattern = r"""(\w+)\s*[:=]\s*["']([^"'\n]{6,})["']"""
     f = files.where(F.col("text").isNotNull()).select("source", "path", F.posexplode(split_lines(F.col("text"))).alias("i", "line"))
-    f = f.withColumn("value", F.regexp_extract("line", pattern, 2)).where(F.col("value") != "").withColumn("name", F.regexp_extract("line", pattern, 1))
+    names, values = (F.regexp_extract_all("line", F.lit(pattern), F.lit(n)) for n in (1, 2))
+    f = f.select("source", "path", "i", F.inline(F.arrays_zip(names.alias("name"), values.alias("value"))))
     return f.select(
         "source", "path", (F.col("i") + 1).alias("line"), "name", S.fnv1a_hex(F.col("value")).alias("value_hash"), S.entropy_bits(F.col("value")).alias("entropy"),
         (S.fnv1a_hex(F.col("value")) == S.fnv1a_hex(F.col("name"))).alias("named"),
