@@ -152,16 +152,18 @@ _SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*")
 def repeated(line: str, times_least: int = REPEATS) -> bool:
     """Is most of the line one sentence, or one pair of words, over and over?"""
     line = _LEAD.sub("", line)
-    if len(line) < 20 or line.lower().count(line[:4].lower()) < min(times_least, 4):
+    if len(line) < 20:
         return False
-    said = Counter(s.strip(" .!?。！？").lower() for s in _SENTENCE.findall(line))
-    said.pop("", None)
-    if said:
-        top, times = said.most_common(1)[0]
-        if times >= times_least and len(top) * times >= 0.8 * sum(len(s) * k for s, k in said.items()) and re.search(r"[^\W\d_]", top):
-            return True
+    if 1 + sum(map(line.count, ".!?。！？")) >= times_least:  # no fewer ends, no more sentences
+        said = Counter(s.strip(" .!?。！？").lower() for s in _SENTENCE.findall(line))
+        said.pop("", None)
+        if said:
+            top, times = said.most_common(1)[0]
+            if times >= times_least and len(top) * times >= 0.8 * sum(len(s) * k for s, k in said.items()) and re.search(r"[^\W\d_]", top):
+                return True
     words = re.findall(r"\w+", line.lower())
-    if len(words) >= 8 and not re.search(r"[{}();=]", line):
+    # two words that make 90 % leave room for a tenth of others
+    if len(words) >= 8 and len(set(words)) <= 2 + len(words) / 10 and not re.search(r"[{}();=]", line):
         return sum(k for _, k in Counter(words).most_common(2)) >= 0.9 * len(words)
     return False
 
