@@ -6,6 +6,8 @@ round, and hold one row per node or frontier entry; nothing is collected but cou
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,17 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.join(into, "node", "full_outer").select("node", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
 
 
-def _spread(colour: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+def _rounds(most: int | None):
+    """Counts without end, or fails after `most` rounds."""
+    for n in count():
+        if most is not None and n >= most:
+            raise RuntimeError(f"not settled after {most} rounds")
+        yield n
+
+
+def _spread(colour: DataFrame, edges: DataFrame, most: int | None) -> DataFrame:
     """Each node's least colour among the nodes that reach it. colour: node, c; edges: src, dst."""
-    for _ in range(most):
+    for _ in _rounds(most):
         met = edges.join(colour.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("n"))
         step = colour.join(met, "node", "left").select("node", F.least("c", F.coalesce("n", "c")).alias("c"), (F.coalesce("n", "c") < F.col("c")).alias("moved"))
         step = cut(step)
@@ -33,18 +43,19 @@ def _spread(colour: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return colour
 
 
-def scc(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def scc(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, component): the strongly connected component of each node on a cycle, named by its least member.
 
     Colouring: nodes without an edge in or out are trimmed; each node gets the least
     node that reaches it; within a colour, what reaches the colour's root is its
-    component. Components leave the graph, and the rest goes on.
+    component. Components leave the graph, and the rest goes on until none is left;
+    with most_rounds, more rounds than that are an error.
     """
     left = cut(edges.select("src", "dst").distinct())
     found = left.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))  # self-loops, unless a larger one holds them
     parts = []
     left = left.where("src <> dst")
-    for _ in range(most_rounds):
+    for _ in _rounds(most_rounds):
         while True:  # trim
             kept = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             same = kept.count() == left.count()
