@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import regex
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +18,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
 
 
+_ASCII, _ANY = re.compile("[a-z0-9]+"), regex.compile(WORD)
+
+
+def word_list(lowered: str) -> list[str]:
+    """The words of a text in lower case."""
+    return (_ASCII if lowered.isascii() else _ANY).findall(lowered)
+
+
 class WordHashes:
     """64-bit hashes of words; what was met once is looked up, within a bound."""
 

@@ -90,7 +90,7 @@ def test_profiles_never_reject_alike_texts(spark):
     for _ in range(200):
         base = rng.choices([f"v{i}" for i in range(rng.choice((3, 40, 400)))], k=rng.randint(1, 90))
         other = edited(rng, base).split() or ["z"]
-        pa_, pb = (similar.profiles([[h(t)]])[0] for t in (base, other))
+        pa_, pb = ([int(c[0]) for c in similar.profiles(h(t), np.zeros(len(t), int), 1)] for t in (base, other))
         rows.append((*pa_, *pb, similar.alike(base, other, 0.75)))
     df = spark.createDataFrame(rows, "na long, xa long, la long, ha long, nb long, xb long, lb long, hb long, alike boolean")
     kept = df.withColumn("kept", similar._may_be_alike(0.75))
@@ -111,3 +111,37 @@ def test_sketches_of_very_long_texts(monkeypatch):
     whole = similar.sketches(texts, seeds, 4)
     monkeypatch.setattr(similar, "_WIDE", 9000)
     assert np.array_equal(similar.sketches(texts, seeds, 4), whole)
+
+
+def test_short_texts_are_found_exactly(spark):
+    rng = random.Random(8)
+    vocabulary = [f"s{i}" for i in range(60)]
+    rows = []
+    for _ in range(60):
+        base = rng.choices(vocabulary, k=rng.randint(1, 22))
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                rng.choice((lambda w=w: len(w) > 1 and w.pop(rng.randrange(len(w))), lambda w=w: w.append(rng.choice(vocabulary)), lambda w=w: rng.shuffle(w)))()
+            rows.append((len(rows), " ".join(w)))
+    want = {(a, b) for a, b in brute(rows) if min(len(rows[a][1].split()), len(rows[b][1].split())) <= similar.SHORT}
+    got = {tuple(r) for r in similar.alike_pairs(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
+    assert want <= got <= set(brute(rows)) and len(want) > 150
+
+
+def test_longer_mers_keep_candidates_of_small_edits():
+    h, seeds = WordHashes(), mix(np.arange(1, 65, dtype=np.uint64))
+    base = [f"m{i}" for i in range(80)]
+    edits = [base, base[:40] + ["new"] + base[40:], base[1:], base[40:] + base[:40]]
+    one = similar.sketches([[h(t)] for t in edits], seeds, 3, 1)
+    three = similar.sketches([[h(t)] for t in edits], seeds, 3, 3)
+    shared = lambda s: [(s[0] == x).mean() for x in s[1:]]
+    assert min(shared(one)[:2]) > 0.7 and min(shared(three)[:2]) > 0.5
+    assert shared(three)[2] < 0.7  # halves that change places break the text order
+
+
+def test_a_class_of_many_copies_meets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "_BLOCK", 7)
+    rows = [(i, "one and the same text of several words") for i in range(60)]
+    got = similar.alike_pairs(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()
+    assert len(got) == len({tuple(r) for r in got}) == 60 * 59 // 2
