@@ -11,7 +11,7 @@ from codelode.llm import markup, proseincode, queries, residue
 
 
 def found(path, text):
-    return sorted(x[:3] for x in proseincode.file_passages(path, text, proseincode.segment([text])[0]))
+    return sorted(x[:3] for x in next(proseincode.passages_of([(path, text)])))
 
 
 TS = """import { x } from './y';
@@ -67,6 +67,20 @@ def test_segmentation_does_not_depend_on_batches():
     assert all(np.array_equal(a, b) for a, b in zip(together, alone, strict=True)) and [len(x) for x in together] == [len(t) for t in texts]
 
 
+def test_pieces_give_what_one_run_gives(monkeypatch):
+    long = [TS * 4, "x = 1;\n" * 90 + "// " + "Only the owner may remove it. " * 30 + TS, "a" * 900]
+    spans = [[(20, 700)], [(5, 1500)], []]
+    whole = proseincode.segment(long, spans)
+    assert max(map(len, long)) < proseincode.PIECE * 2
+    monkeypatch.setattr(proseincode, "PIECE", 10**6)
+    one = proseincode.segment(long, spans)
+    monkeypatch.setattr(proseincode, "MARGIN", 3)
+    for piece in (11, 64, 500):
+        monkeypatch.setattr(proseincode, "PIECE", piece)
+        for a, b, c in zip(one, proseincode.segment(long, spans), whole, strict=True):
+            assert np.array_equal(a, b) and np.array_equal(a, c)
+
+
 def test_held_out_languages():
     held = {
         "en": "Only the owner of this record is allowed to remove it before the deadline has passed.",
