@@ -3,11 +3,12 @@
 One character n-gram model per kind and one of natural prose are fitted from
 short labelled texts. Along each line, the log-likelihood ratio of a kind to
 prose is averaged over windows; characters inside windows above a threshold are
-residue, and a line is a case of the kind whose residue covers enough of it.
-Before that, template fields, empty values, identifiers, numbers and inline code
-become one sign each, so that what a template says counts and not its names.
-Lines of code blocks and quotations are no content of the text's own. A sentence
-said again and again on a line is filler, whatever it says.
+residue, and a line, or a paragraph of several lines, is a case of the kind whose
+residue covers enough of it. Filler has three models: n-grams of the customary
+texts, letters without any order, and a model that repeats what the line said
+before. Before that, template fields, empty values, identifiers, numbers and inline
+code become signs, so that what a template says counts and not its names. Lines of
+code blocks and quotations are no content of the text's own.
 
 Defined results
 * Null and empty texts hold no case. CRLF is a line feed.
@@ -18,9 +19,8 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,190 +30,235 @@ from pyspark.sql import functions as F
 from codelode.llm import residue_seeds, seeds
 
 KINDS = ("placeholder", "filler", "error_page", "script_notice")
+FILLER = 1
 ORDERS = (1, 2, 3, 5)
 WEIGHTS = (0.06, 0.14, 0.3, 0.5)
-WINDOW, RATIO, COVERAGE = 16, 1.0, 0.7
-REPEATS, HINT = 5, 0.25  # a sentence said so often is filler; with that much coverage, said three times
-_SIZE = 1 << 19
-_PORTION = 100_000  # characters scored at once
+FLOOR = 2e-4
+USUAL = -2.0  # log-likelihood of a character of prose that the seeds know
+BACKGROUND = 2  # orders up to which prose is fitted from the texts of the kinds too, so that mere letters tell nothing (but for templates, whose signs do)
+WINDOW, RATIO = 16, 0.8
+LONG, LOW = 48, 0.3  # text without meaning gives little evidence a character, but all along
+COVERAGE = 0.62
+RECALLED = 8  # characters of the n-grams by which a line repeats itself
+_BITS = (12, 16, 18, 19)  # of the tables by order
+_PORTION = 200_000  # characters scored at once
 
 # --- signs that stand for what varies
 FIELD, EMPTY, NAME, INLINE = "", "", "", ""
-_SIGNS = re.compile(
-    r"(?P<inline>`[^`\n]+`)"
-    r"|(?P<field>\$\{[^{}\n]{0,80}\}|#\{[^{}\n]{0,80}\}|\{\{[^{}\n]{0,80}\}\}|\[\[[^\[\]\n]{1,80}\]\]|<%=?[^%\n]{0,80}%>|%\([\w. -]{1,60}\)[sd]|%[A-Za-z][\w.-]{1,60}%|\$[A-Za-z][\w.]{1,60}\$"
-    r"|\{%[^%\n]{1,80}%\}|<(?:your|my|the|insert|enter)[-_ ][\w. -]{1,60}>|<INSERT [^<>\n]{1,80}>|\[[A-Za-z]\w+(?:\.\w+)*\](?![(\[:])|(?<![\w/])\{[A-Za-z_][\w. -]{0,60}\}|@@[\w.]+@@|(?<!\w)__[A-Za-z][\w.]*__(?!\w))"
-    r"|(?P<empty>\[object Object\]|\(none\)|(?<![\w'-])(?:undefined|null|NaN|None|nil|N/A)(?![\w'-]))"
-    r"|(?P<name>[\w{}.-]*(?:/[\w{}.-]+)+/?|\b\w*[a-z][A-Z]\w*|\b\w+_\w+|\b[a-z]+(?:\.[a-z]+)+\b)"
-    r"|(?P<number>\b(?=\w*\d)[0-9a-f]{6,}\b|\d+(?:[.:]\d+)*)"
+_CODE = re.compile(r"`[^`\n]+`")
+_FIELDS = re.compile(
+    r"\$\{[^{}\n]*\}|#\{[^{}\n]*\}|\{\{[^{}\n]*\}\}|\[\[[^\[\]\n]+\]\]|<%=?[^%\n]*%>|%\([\w. -]+\)[sd]|%[A-Za-z][\w.-]*%|\$[A-Za-z][\w.]*\$"
+    r"|\{%[^%\n]+%\}|<(?:your|my|the|insert|enter)[-_ ][\w. -]+>|<INSERT [^<>\n]+>|\[[A-Za-z]\w+(?:\.\w+)*\](?![(\[:])|(?<![\w/])\{[A-Za-z_][\w. -]*\}|@@[\w.]+@@|(?<!\w)__[A-Za-z][\w.]*__(?!\w)"
 )
+_EMPTIES = re.compile(r"\[object Object\]|\(none\)|(?<![\w'-])(?:undefined|null|NaN|None|nil|N/A)(?![\w'-])")
+_BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
+_TOKEN = re.compile(r"[\w{}./-]*[\w{}]")
+
+
+@lru_cache(100_000)
+def _sign(t: str) -> str:
+    if t.isalpha() and (t.islower() or t[1:].islower() or t.isupper()):
+        return t
+    if "/" in t or "_" in t or "{" in t or "}" in t:
+        return NAME
+    if any(c.isdigit() for c in t):
+        return "0" if not any(c.isalpha() for c in t) or re.fullmatch("[0-9a-f]{6,}", t) else re.sub(r"\d+", "0", t)
+    if any(a.islower() and b.isupper() for a, b in zip(t, t[1:], strict=False)) or re.fullmatch(r"[a-z]+(?:\.[a-z]+)+", t):
+        return NAME
+    return t
+
+
+def normal(text: str) -> str:
+    """The text with signs; lines stay lines."""
+    if "`" in text:
+        text = _CODE.sub(INLINE, text)
+    if any(c in text for c in "{[<%@$") or "__" in text:
+        text = _FIELDS.sub(FIELD * 2, text)
+    text = _EMPTIES.sub(EMPTY, text)
+    return _TOKEN.sub(lambda m: _sign(m.group()), _BLANKS.sub(" ", text))
 
 
-def normal(line: str) -> str:
-    def sub(m: re.Match) -> str:
-        return {"inline": INLINE, "field": FIELD, "empty": EMPTY, "name": NAME, "number": "0"}[m.lastgroup]
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
 
-    return _SIGNS.sub(sub, line).strip()
 
+def _grams(codes: np.ndarray) -> dict[int, np.ndarray]:
+    """By order, a hash of the characters that end at each place; line feeds stand before the first."""
+    one = (np.concatenate([np.full(RECALLED, 10, np.uint64), codes]) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    out, h = {1: one}, one
+    for order in range(2, RECALLED + 1):
+        h = np.concatenate([h[:1], (h[:-1] * np.uint64(0xFF51AFD7ED558CCD)) ^ one[1:]])
+        out[order] = h
+    return {o: x[RECALLED:] for o, x in out.items()}
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+
+def _slots(gram: np.ndarray, order: int) -> np.ndarray:
+    bits = _BITS[ORDERS.index(order)]
+    return (((gram ^ (gram >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _slots(codes: np.ndarray, order: int) -> np.ndarray:
-    """Hash slot of the `order` characters that end at each place; the first ones are padded."""
-    padded = np.concatenate([np.full(order - 1, 10, np.uint64), codes])
-    h = np.full(len(codes), order * 7919, np.uint64)
-    for j in range(order):
-        h = (h ^ padded[j : j + len(codes)]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return (h % np.uint64(_SIZE)).astype(np.int64)
+def _lines(text: str) -> np.ndarray:
+    """Codes of a seed's lines, each between two line feeds."""
+    return _codes("\n\n" + "\n\n".join(normal(x) for x in text.split("\n") if x.strip()) + "\n")
 
 
-def _fit(text: str) -> list[np.ndarray]:
-    """Per order: the chance of a character behind its context, by slot of both together."""
-    lines = [_codes("\n" + normal(x) + "\n") for x in text.split("\n") if x.strip()]
+def _fit(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per order: slots, and the chance of their character behind its context."""
+    codes = _lines(text)
+    grams = _grams(codes)
     out = []
     for order in ORDERS:
-        both, context = np.zeros(_SIZE, np.float32), np.zeros(_SIZE, np.float32)
-        slots = [(_slots(c, order), np.concatenate([[0], _slots(c, order - 1)[:-1]]) if order > 1 else np.zeros(len(c), np.int64)) for c in lines]
-        for s, t in slots:
-            np.add.at(both, s, 1)
-            np.add.at(context, t, 1)
-        chance = np.zeros(_SIZE, np.float32)
-        for s, t in slots:
-            chance[s] = both[s] / context[t]
-        out.append(chance)
+        whole, where, count = np.unique(grams[order], return_index=True, return_counts=True)
+        if order == 1:
+            chance = count / len(codes)
+        else:
+            before = np.concatenate([grams[order - 1][:1], grams[order - 1][:-1]])
+            context, times = np.unique(before, return_counts=True)
+            chance = count / times[np.searchsorted(context, before[where])]
+        out.append((_slots(whole, order), chance))
     return out
 
 
+def _texts() -> list[str]:
+    own = {"filler": residue_seeds.PUBLIC_FILLER, "error_page": residue_seeds.PUBLIC_NOTICES, "script_notice": residue_seeds.PUBLIC_SCRIPTS}
+    kinds = [getattr(residue_seeds, k.upper()) + own.get(k, "") for k in KINDS]
+    return [*kinds, "\n".join([residue_seeds.TALK, *(getattr(seeds, k) for k in ("EN", "DE", "ES", "FR", "KO", "JA", "ZH"))])]
+
+
 @cache
-def models() -> list[list[np.ndarray]]:
-    """Models of the kinds, and last that of prose and code."""
-    own = [_fit(getattr(residue_seeds, k.upper())) for k in KINDS]
-    prose = "\n".join([residue_seeds.TALK, *(getattr(seeds, k) for k in ("EN", "DE", "ES", "FR", "KO", "JA", "ZH", "CODE"))])
-    return [*own, _fit(prose)]
+def models() -> list[np.ndarray]:
+    """Per order, the weighted chances by slot: of the kinds and last of prose, side by side."""
+    texts = _texts()
+    fitted = [_fit(t) for t in texts]
+    fitted[-1] = [_fit("\n".join(texts[1:]))[i] if o <= BACKGROUND else x for i, (o, x) in enumerate(zip(ORDERS, fitted[-1], strict=True))]
+    out = []
+    for o, (w, bits) in enumerate(zip(WEIGHTS, _BITS, strict=True)):
+        table = np.zeros((1 << bits, 8), np.float32)
+        for k, own in enumerate(fitted):
+            slots, chance = own[o]
+            np.maximum.at(table[:, k], slots, w * chance)
+        out.append(table)
+    return out
 
 
-def ratios(codes: np.ndarray) -> np.ndarray:
-    """log-likelihood ratio of each kind to prose, at each character."""
-    slots = [_slots(codes, o) for o in ORDERS]
-    logs = []
-    for tables in models():
-        p = np.full(len(codes), 2e-4, np.float32)
-        for w, t, s in zip(WEIGHTS, tables, slots, strict=True):
-            p += np.float32(w) * t[s]
-        logs.append(np.log(p))
-    return np.stack(logs[:-1]) - logs[-1]
+@cache
+def _letters() -> np.ndarray:
+    """log P(letter) where letters have no order."""
+    code = _codes("".join(c for c in residue_seeds.PUBLIC_FILLER + seeds.EN if c.isascii()))
+    count = np.bincount(code.astype(np.int64), minlength=128)[:128] + 20.0
+    count[[i for i in range(128) if not chr(i).isalpha() and i != 32]] = 0.5
+    return np.log(count / count.sum())
+
+
+def ratios(codes: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """log-likelihood ratio to prose at each character: of the kinds, of unordered letters, of repetition."""
+    grams = _grams(codes)
+    chance = np.full((len(codes), 8), FLOOR, np.float32)
+    for order, table in zip(ORDERS, models(), strict=True):
+        chance += table[_slots(grams[order], order)]
+    logs = np.log(chance[:, : len(KINDS) + 1])
+    prose = logs[:, -1]
+    noise = np.where(codes < 128, _letters()[np.minimum(codes, 127).astype(np.int64)] - prose, np.float32(-1))
+    # the line's own n-grams of RECALLED characters, each without itself, and counted as if it were rarer
+    key = (line.astype(np.uint64) << np.uint64(40)) | (grams[RECALLED] >> np.uint64(24))
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.concatenate(([True], key[order[1:]] != key[order[:-1]])))
+    times = np.diff(np.append(start, len(key)))
+    again = np.empty(len(key), np.float32)
+    again[order] = np.repeat((times - 1) / (times + 3), times)
+    said = np.log(np.maximum(again, 0.02)) - np.where(again > 0, np.maximum(prose, USUAL), 0)
+    return np.vstack([(logs[:, :-1] - prose[:, None]).T, noise, said])
 
 
 @cache
 def _weights() -> np.ndarray:
-    """Fields and values stand for a word each, blanks and stops for nearly nothing."""
+    """Blanks and stops stand for nearly nothing."""
     w = np.array([1.0 if chr(i).isalnum() else 0.2 for i in range(0x10000)])
-    w[[ord(c) for c in (FIELD, EMPTY, NAME, INLINE)]] = 4.0
+    w[[ord(c) for c in (FIELD, EMPTY, NAME, INLINE)]] = 4.0  # a word each
     return w
 
 
-def coverage(forms: list[str]) -> np.ndarray:
-    """Per line and kind: the share of its characters in windows whose mean ratio is high."""
-    codes = _codes("\n".join(["", *forms, ""]))
-    r = ratios(codes)
+def covered(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Per line: the weight of its characters, and of those in windows whose mean ratio is high, by kind."""
+    codes = _codes("\n\n" + "\n\n".join([*forms, ""]))
     size = np.array([len(f.lower()) for f in forms])
-    start = 1 + np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    line = np.full(len(codes), -1)
+    start = 2 + np.concatenate([[0], np.cumsum(size + 2)[:-1]])
     own = np.repeat(np.arange(len(forms)), size)
-    line[np.repeat(start, size) + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)] = own
-    weight = _weights()[np.minimum(codes, 0xFFFF).astype(np.int64)]
-    total = np.bincount(own, weights=weight[line >= 0], minlength=len(forms))
-    out = np.zeros((len(forms), len(r)))
+    at = np.repeat(start, size) + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    line = np.full(len(codes), len(forms))
+    line[at] = own
+    r = ratios(codes, line)
+    weight = _weights()[np.minimum(codes, 0xFFFF).astype(np.int64)][at]
+    total = np.bincount(own, weights=weight, minlength=len(forms))
+    hot = np.zeros((len(KINDS), len(codes)), bool)
     whole = np.zeros(len(codes) + 1)
     for k, ratio in enumerate(r):
+        kind = k if k < len(KINDS) else FILLER
         np.cumsum(ratio, out=whole[1:])
-        n = len(codes) - WINDOW
-        inside = np.zeros(len(codes) + 1)
-        if n >= 0:
-            hot = ((whole[WINDOW:] - whole[:-WINDOW]) > RATIO * WINDOW) & (line[: n + 1] >= 0) & (line[: n + 1] == line[WINDOW - 1 :])
-            inside[: n + 1] += hot
-            inside[WINDOW : n + 1 + WINDOW] -= hot
-        covered = np.cumsum(inside[:-1]) > 0
-        # a line shorter than a window is one itself
-        mean = (whole[start + size] - whole[start]) / np.maximum(size, 1)
-        got = np.bincount(own, weights=(covered * weight)[line >= 0], minlength=len(forms)) / np.maximum(total, 1e-9)
-        out[:, k] = np.where(size < WINDOW, mean > RATIO, got)
-    return out
+        for w, high in ((WINDOW, RATIO), (LONG, LOW))[: 2 if kind == FILLER else 1]:
+            if len(codes) >= w:
+                found = ((whole[w:] - whole[:-w]) > high * w) & (line[: len(codes) - w + 1] == line[w - 1 :])
+                inside = np.zeros(len(codes) + 1, np.int32)
+                inside[: len(found)] += found
+                inside[w : len(found) + w] -= found
+                hot[kind] |= np.cumsum(inside[:-1]) > 0
+        # a line shorter than a window is one itself, with no less evidence
+        short = np.flatnonzero((size < WINDOW) & (whole[start + size] - whole[start] > RATIO * WINDOW))
+        for i in short if k != len(KINDS) else ():  # letters without order need a whole window
+            hot[kind, start[i] : start[i] + size[i]] = True
+    got = np.stack([np.bincount(own, weights=h[at] * weight, minlength=len(forms)) for h in hot], axis=1)
+    return total, got
 
 
 _LEAD = re.compile(r"^\s*(?:#{1,6}\s+|[-*+]\s+|\d{1,3}[.)]\s+)*")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
-_SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*")
-
-
-def repeated(line: str, times_least: int = REPEATS) -> bool:
-    """Is most of the line one sentence, or one pair of words, over and over?"""
-    line = _LEAD.sub("", line)
-    if len(line) < 20:
-        return False
-    if 1 + sum(map(line.count, ".!?。！？")) >= times_least:  # no fewer ends, no more sentences
-        said = Counter(s.strip(" .!?。！？").lower() for s in _SENTENCE.findall(line))
-        said.pop("", None)
-        if said:
-            top, times = said.most_common(1)[0]
-            if times >= times_least and len(top) * times >= 0.8 * sum(len(s) * k for s, k in said.items()) and re.search(r"[^\W\d_]", top):
-                return True
-    words = re.findall(r"\w+", line.lower())
-    # two words that make 90 % leave room for a tenth of others
-    if len(words) >= 8 and len(set(words)) <= 2 + len(words) / 10 and not re.search(r"[{}();=]", line):
-        return sum(k for _, k in Counter(words).most_common(2)) >= 0.9 * len(words)
-    return False
-
-
-def own_lines(text: str) -> list[tuple[str, str]]:
-    """(line, its normal form) of the lines that are the text's own content."""
+
+
+def own_lines(text: str) -> list[tuple[int, str]]:
+    """(paragraph, normal form) of the lines that are the text's own content."""
     fenced = False
-    out = []
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+    out, paragraph = [], 0
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    for line, form in zip(text.split("\n"), normal(text).split("\n"), strict=True):
         if _FENCE.match(line):
             fenced = not fenced
-            continue
-        if fenced or not line.strip() or line.lstrip().startswith(">"):
-            continue
-        form = normal(_LEAD.sub("", line))
-        if any(c.isalpha() or c in (FIELD, EMPTY) for c in form):
-            out.append((line, form))
+        elif not line.strip():
+            paragraph += 1
+        elif not fenced and not line.lstrip().startswith(">"):
+            form = _LEAD.sub("", form).strip()
+            if any(c.isalpha() or c in (FIELD, EMPTY) for c in form):
+                out.append((paragraph, form))
     return out
 
 
-def _kind(line: str, form: str, cover: np.ndarray) -> str | None:
-    best = int(cover.argmax())
-    if cover[best] >= COVERAGE:
-        return KINDS[best]
-    if repeated(line, 3 if cover[1] >= HINT else REPEATS):
-        return "filler"
-    return "placeholder" if _only_fields(form) else None
-
-
 def kinds_of(texts: list[str | None]) -> list[list[str]]:
     """The kinds of each text; texts are scored together, in bounded portions."""
     out: list[set] = [set() for _ in texts]
-    lines: list[tuple[int, str, str]] = []
+    lines: list[tuple[int, int, str]] = []
 
     def score() -> None:
-        if lines:
-            for (i, line, form), cover in zip(lines, coverage([f for _, _, f in lines]), strict=True):
-                k = _kind(line, form, cover)
-                if k:
-                    out[i].add(k)
+        if not lines:
+            return
+        unit = np.cumsum([False, *(a[:2] != b[:2] for a, b in zip(lines, lines[1:], strict=False))])
+        total, got = covered([f for _, _, f in lines])
+        by_total = np.bincount(unit, weights=total)
+        by_got = np.stack([np.bincount(unit, weights=g) for g in got.T], axis=1)
+        first = np.concatenate(([0], np.flatnonzero(np.diff(unit)) + 1))
+        for owner, t, g in ((np.arange(len(lines)), total, got), (first, by_total, by_got)):
+            share = g / np.maximum(t, 1e-9)[:, None]
+            best = share.argmax(1)
+            for j in np.flatnonzero(share[np.arange(len(best)), best] >= COVERAGE):
+                out[lines[owner[j]][0]].add(KINDS[best[j]])
         lines.clear()
 
     size = 0
     for i, t in enumerate(texts):
-        for line, form in own_lines(t) if t else ():
-            lines.append((i, line, form))
+        for paragraph, form in own_lines(t) if t else ():
+            lines.append((i, paragraph, form))
             size += len(form)
-            if size > _PORTION:
-                score()
-                size = 0
+        if size > _PORTION:
+            score()
+            size = 0
     score()
     return [sorted(s) for s in out]
 
@@ -222,11 +267,6 @@ def kinds(text: str | None) -> list[str]:
     return kinds_of([text])[0]
 
 
-def _only_fields(form: str) -> bool:
-    rest = re.sub(rf"[\W_{FIELD}{EMPTY}]+", "", form.replace(FIELD, " ").replace(EMPTY, " "))
-    return FIELD in form and not rest
-
-
 def find_residue(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind): each kind of residue that a text holds in place of content."""
     name = dict(df.dtypes)[key]
