@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm import markup_seeds
+
 LABELS = ("text", "heading", "list", "code_block", "formula")
 
 # --- leaf blocks
@@ -240,33 +242,18 @@ class ChainField:
 
 # --- labelled pages
 
-_SENTENCES = (
-    "The reader keeps the earlier value and moves on.", "Nothing here may import that package.", "Order matters: first the index, then the rest.",
-    "We saw 12 findings in the last run.", "이 단계에서는 순서를 바꾸지 않는다.", "설정에 항목이 없으면 기본값 6 을 쓴다.", "같은 값이 두 번 나오면 나중 것을 버린다.",
-    "It's cheaper to do it once, isn't it?", "The route GET /items/id has no owner, only a guest.", "Use the old_name and someOtherName here.",
-)
-_ALIKE = (
-    "a == b, then x = y; 10% of $5 is little.", "Set $HOME and $PATH before the call.", "5 * 3 * 2 is 30 - 1.", "Issue #577 covers C# and F# only.",
-    "Use *.ts or **/*.sql as globs.", "Rank (1) first, (2) second.", "~888 rows | 301 files.", "It costs $5 here and $7 there.", "C:\\new\\temp is a path.",
-    "Pass -> next; fail => stop & retry.", "a < b and b > 4 hold at once.", "Both $A and $B are set - or not.", "From $3 to $9, 2 - 1 at a time.", "#577 was closed - again.",
-    "Array<string> is narrower than Map<String, List<Integer>>.",
-)
-_CODE_LINES = ("SELECT a FROM b", "const x = f(5);", "if (a < 5) return;", "run_it(x)", "return x", "zz scan --tree web", "# set up", "- name: step", "* all *", "x = $y$ + 1")
-_FORMULAS = (r"O(n \log n)", r"\frac{a_i}{b_i + 1}", r"s \le 100 - w^2", r"x_{t+1} = \alpha x_t", "a = b + c", "E = mc^2", "x", "n+1", r"H = -\sum p_k \log p_k", "f(x)")
-
-
 def _page(rng: random.Random) -> list[tuple[str, str]]:
     """(piece, label): the pieces of a labelled page, in order."""
     dialect = rng.choice(("html", "md", "md", "wiki", "tex"))
-    one = lambda: rng.choice(_SENTENCES)
+    one = lambda: rng.choice(markup_seeds.SENTENCES)
     short = lambda: " ".join(one().split()[: rng.randint(2, 5)])
-    code = lambda: "\n".join(rng.choice(_CODE_LINES) for _ in range(rng.randint(1, 3)))
-    form = lambda: rng.choice(_FORMULAS)
+    code = lambda: "\n".join(rng.choice(markup_seeds.CODE_LINES) for _ in range(rng.randint(1, 3)))
+    form = lambda: rng.choice(markup_seeds.FORMULAS)
     out: list[tuple[str, str]] = []
 
     def para() -> None:
         n = rng.randint(1, 3)
-        text = " ".join(rng.choice(_ALIKE) if rng.random() < 0.25 else one() for _ in range(n))
+        text = " ".join(rng.choice(markup_seeds.ALIKE) if rng.random() < 0.25 else one() for _ in range(n))
         if dialect == "html" and rng.random() < 0.5:
             text = f"<p>{text}" + rng.choice(("</p>", ""))
         if rng.random() < 0.2 and dialect in ("md", "tex"):
