@@ -1,13 +1,14 @@
 """Schemas that drift between files: one table, and every change in order.
 
-Each file's header (its fields, their JSON types, and digests of what they hold
-per rule) is read in parallel. Headers are folded through a type-promotion
-lattice into one union schema, to which all files are cast; consecutive headers
-of a file are compared for the log of changes.
+Each file's header (its fields and their JSON types) is read in parallel. Headers
+are folded through a type-promotion lattice into one union schema, to which all
+files are cast; consecutive headers of a file are compared for the log of changes.
 
-The version before a row is found without putting all versions of one file into
-one task: versions are cut into slots of a day, rows look back within their slot,
-and only the first row of a slot takes the last header of an earlier slot.
+For the log, rows are dealt out by ranges of (file, time, key), which also cuts up
+a file of very many versions, and each task compares its rows in order as they
+stream by. What a task can't see is the version before its first row: the last and
+the first row of each file in each task come out beside the changes, and the few
+pairs across a border are compared at the end.
 
 Defined results
 * Null bodies and bodies that hold no JSON object have no fields; they are no
@@ -18,23 +19,26 @@ Defined results
 * A first version logs nothing. Empty tables give empty results.
 * Equal numbers are equal values (1 and 1.0); true is not 1.
 * Rules without an id take part in which fields exist, not in renames.
+* In the union table, fields whose names differ in case only are columns of their
+  own: the first by code points keeps its name, the others end in `__2`, `__3` and
+  so on (`union_columns` tells which). Integers keep every digit.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from codelode.session import cut
 
-HEADER = "array<struct<field:string,types:array<string>,ids:array<string>,sums:array<binary>>>"
-_HEADER_ARROW = pa.list_(
-    pa.struct([("field", pa.string()), ("types", pa.list_(pa.string())), ("ids", pa.list_(pa.string())), ("sums", pa.list_(pa.binary()))])
-)
 PACK = ""  # the id under which values of the pack itself are kept
+MAX_FIELDS = 20_000  # a wider union schema is refused, as no table could hold it
 
 
 def json_type(v) -> str:
@@ -54,8 +58,8 @@ def _plain(v):
     return {k: _plain(x) for k, x in v.items()} if isinstance(v, dict) else v
 
 
-def _digest(v) -> bytes:
-    return blake2b(json.dumps(_plain(v), sort_keys=True).encode(), digest_size=16).digest()
+def _held_as(v) -> str:
+    return json.dumps(_plain(v), sort_keys=True)
 
 
 def leaves(obj: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
@@ -85,46 +89,54 @@ def read_object(text: str | None, group: str = "rules") -> tuple[list, list] | N
     return list(leaves(o)), []
 
 
-def header(text: str | None, group: str = "rules", id_name: str = "id") -> list[dict] | None:
-    read = read_object(text, group)
-    if read is None:
-        return None
-    own, members = read
-    fields: dict[str, tuple[set, list, list]] = {}
-    for k, v in own:
-        f = fields.setdefault(k, (set(), [], []))
-        f[0].add(json_type(v))
-        f[1].append(PACK)
-        f[2].append(_digest(v))
-    for m in members:
-        ident = next((v for k, v in m if k == f"{group}.{id_name}"), None)
-        for k, v in m:
-            f = fields.setdefault(k, (set(), [], []))
-            f[0].add(json_type(v))
-            if ident is not None:
-                f[1].append(json.dumps(ident))
-                f[2].append(_digest(v))
-    return [{"field": k, "types": sorted(t), "ids": i, "sums": s} for k, (t, i, s) in sorted(fields.items())]
-
-
-def _held(f: dict, shared: set) -> dict[str, list]:
-    out: dict[str, list] = {}
-    for i, s in zip(f["ids"], f["sums"], strict=True):
-        if i in shared:
-            out.setdefault(i, []).append(s)
-    return out
-
-
-def changes(old: list[dict], new: list[dict]) -> list[tuple[str, str, str]]:
-    """(change, field, new_field) from one header to the next, in a fixed order."""
-    a, b = {f["field"]: f for f in old}, {f["field"]: f for f in new}
-    gone, come = [k for k in a if k not in b], [k for k in b if k not in a]
-    out = [("type_changed", k, "") for k in a if k in b and a[k]["types"] != b[k]["types"]]
+class Version:
+    """What one row says: its fields with their types, and on demand what they hold per rule."""
+
+    def __init__(self, own: list, members: list, group: str, id_name: str) -> None:
+        self.own, self.members, self.ident = own, members, f"{group}.{id_name}"
+        fields: dict[str, set] = {}
+        for part in (own, *members):
+            for k, v in part:
+                fields.setdefault(k, set()).add(json_type(v))
+        self.fields = fields
+        self._ids: list[str | None] | None = None
+
+    @staticmethod
+    def read(text: str | None, group: str, id_name: str) -> Version | None:
+        got = read_object(text, group)
+        return None if got is None else Version(*got, group, id_name)
+
+    def idents(self) -> list[str | None]:
+        if self._ids is None:
+            first = (next((v for k, v in m if k == self.ident), None) for m in self.members)
+            self._ids = [None if v is None else json.dumps(v) for v in first]
+        return self._ids
+
+    def ids(self) -> set[str]:
+        return {i for i in self.idents() if i is not None} | ({PACK} if self.own else set())
+
+    def held(self, names: list[str], shared: set[str]) -> dict[str, dict[str, list[str]]]:
+        """By field and id, what it holds."""
+        out: dict[str, dict[str, list[str]]] = {n: {} for n in names}
+        for ident, part in ((PACK, self.own), *zip(self.idents(), self.members, strict=True)):
+            if ident in shared:
+                for k, v in part:
+                    if k in out:
+                        out[k].setdefault(ident, []).append(_held_as(v))
+        return out
+
+
+def changes(old: Version, new: Version) -> list[tuple[str, str, str]]:
+    """(change, field, new_field) from one version to the next, in a fixed order."""
+    a, b = old.fields, new.fields
+    if a == b:
+        return []
+    gone, come = sorted(k for k in a if k not in b), sorted(k for k in b if k not in a)
+    out = [("type_changed", k, "") for k in a if k in b and a[k] != b[k]]
     if gone and come:
         # no field need be held by every rule, so all fields together tell which ids a version has
-        shared = {i for f in old for i in f["ids"]} & {i for f in new for i in f["ids"]}
-        before = {k: _held(a[k], shared) for k in gone}
-        after = {k: _held(b[k], shared) for k in come}
+        shared = old.ids() & new.ids()
+        before, after = old.held(gone, shared), new.held(come, shared)
         pairs = [(g, c) for g in gone for c in come if before[g] and before[g] == after[c]]
         out += [("renamed", g, c) for g, c in pairs]
         gone = [k for k in gone if k not in {g for g, _ in pairs}]
@@ -133,101 +145,154 @@ def changes(old: list[dict], new: list[dict]) -> list[tuple[str, str, str]]:
     return sorted(out)
 
 
-def read_headers(df: DataFrame, body: str, group: str = "rules") -> DataFrame:
-    """The rows with `header` in place of the body; unreadable ones have null."""
+def schema_changes(df: DataFrame, key: str, parts: list[str], time: str, body: str, group: str = "rules", id_name: str = "id") -> DataFrame:
+    """(key, change, field, new_field): each difference from a version to the next."""
+    names = [f"p{i}" for i in range(len(parts))]
+    rows = df.select(
+        *[F.col(f"`{c}`").alias(n) for n, c in zip(names, parts, strict=True)],
+        F.col(f"`{time}`").alias("t"), F.col(f"`{key}`").alias("k"), F.col(f"`{body}`").alias("body"),
+    ).where(F.col("body").isNotNull())
+    kinds = dict(rows.dtypes)
+    order = [F.asc_nulls_first(c) for c in (*names, "t", "k", "body")]
+    dealt = rows.repartitionByRange(*[F.asc_nulls_first(c) for c in (*names, "t", "k")]).sortWithinPartitions(*order)
+    at_key, at_body, p = len(names) + 1, len(names) + 2, len(names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        file, last, edge = None, None, None
+
+        def border(row: tuple, place: int) -> tuple:
+            return (*row[:p], row[at_key], None, None, None, task, place, row[at_body])
 
-    def read(batches):
         for batch in batches:
-            i = batch.schema.get_field_index("__body")
-            heads = pa.array([header(x, group) for x in batch.column(i).to_pylist()], _HEADER_ARROW)
-            yield pa.RecordBatch.from_arrays(
-                [*[c for j, c in enumerate(batch.columns) if j != i], heads],
-                names=[*[n for j, n in enumerate(batch.schema.names) if j != i], "header"],
-            )
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                version = Version.read(row[at_body], group, id_name)
+                if version is None:
+                    continue
+                if edge is None or row[:p] != file:
+                    if edge is not None:
+                        out.append(border(edge, 1))
+                    out.append(border(row, 0))
+                    file = row[:p]
+                else:
+                    out += [(*row[:p], row[at_key], *x, None, None, None) for x in changes(last, version)]
+                last, edge = version, row
+            if out:
+                yield _batch(out)
+        if edge is not None:
+            yield _batch([border(edge, 1)])
+
+    arrow = pa.schema([])
+    for f in (*names, "k"):
+        arrow = arrow.append(pa.field(f, to_arrow_type(rows.schema[f].dataType)))
+    for f, kind in (("change", pa.string()), ("field", pa.string()), ("new_field", pa.string()), ("task", pa.int64()), ("place", pa.int32()), ("body", pa.string())):
+        arrow = arrow.append(pa.field(f, kind))
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    ddl = ", ".join([*(f"{c} {kinds[c]}" for c in (*names, "k")), "change string, field string, new_field string, task bigint, place int, body string"])
+    # a task's first and last row of a file are needed only where the file goes on in another task
+    told = cut(dealt.mapInArrow(compare, ddl).where(F.col("change").isNotNull() | F.col("place").isNotNull()))
+    borders = told.where(F.col("place").isNotNull())
+    several = borders.groupBy(*names).agg(F.min("task").alias("lo"), F.max("task").alias("hi")).where(F.col("lo") < F.col("hi"))
+    same = F.lit(True)
+    for n in names:
+        same = same & borders[n].eqNullSafe(several[n])
+    ends = borders.join(several, same, "left_semi")
+    before = Window.partitionBy(*names).orderBy("task", "place")  # two rows a task
+    across = ends.withColumn("previous", F.lag("body").over(before)).where((F.col("place") == 0) & F.col("previous").isNotNull())
+    kind = kinds["k"]
+
+    def compare_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for i, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for x in changes(Version.read(a, group, id_name), Version.read(b, group, id_name)):
+                    at.append(i)
+                    out.append(x)
+            cols = [pa.array([x[j] for x in out], pa.string()) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cols], names=["k", "change", "field", "new_field"])
 
-    kept = [c for c in df.columns if c != body]
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != body]
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{body}`").alias("__body")).mapInArrow(
-        read, ", ".join([*schema, f"header {HEADER}"])
-    )
+    later = across.select("k", "previous", "body").mapInArrow(compare_borders, f"k {kind}, change string, field string, new_field string")
+    inner = told.where(F.col("change").isNotNull()).select("k", "change", "field", "new_field")
+    return inner.unionByName(later).select(F.col("k").alias(key), "change", "field", "new_field").distinct()
 
 
-def with_previous(df: DataFrame, parts: list[str], order: list[str], value: str, slot) -> DataFrame:
-    """Adds `previous`: the value of the row before, among rows equal in `parts`.
+# --- the union table
 
-    `slot` must never decrease along `order`; rows of one slot meet in one task,
-    and so do the slots (not the rows) of one group.
-    """
-    keys = [*parts, "slot"]
-    rows = df.withColumn("slot", slot)
-    within = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_first(c) for c in order])
-    seen = rows.withColumn("previous", F.lag(value).over(within)).withColumn("first", F.row_number().over(within) == 1)
-    lasts = rows.groupBy(*keys).agg(F.max(F.struct(*order, value)).alias("m"))
-    across = Window.partitionBy(*parts).orderBy(F.asc_nulls_first("slot"))
-    lasts = lasts.select(*keys, F.lag(F.col(f"m.{value}")).over(across).alias("earlier"))
-    same = [seen[k].eqNullSafe(lasts[k]) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return seen.join(lasts, cond, "left").select(
-        *[seen[c] for c in df.columns], F.when(seen["first"], lasts["earlier"]).otherwise(seen["previous"]).alias("previous")
-    )
 
+def header(text: str | None, group: str = "rules") -> list[tuple[str, list[str]]] | None:
+    """(field, types) of a body; of numbers, integers are told apart by their width."""
+    read = read_object(text, group)
+    if read is None:
+        return None
+    fields: dict[str, set] = {}
+    for part in (read[0], *read[1]):
+        for k, v in part:
+            fields.setdefault(k, set()).add(exact_type(v))
+    return [(k, sorted(t)) for k, t in sorted(fields.items())]
 
-def schema_changes(df: DataFrame, key: str, parts: list[str], time: str, body: str, group: str = "rules") -> DataFrame:
-    """(key, change, field, new_field): each difference from a version to the next."""
-    rows = df.select(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(parts)], F.col(f"`{time}`").alias("t"), F.col(f"`{key}`").alias("k"), F.col(f"`{body}`").alias("body"))
-    heads = read_headers(rows, "body", group).where(F.col("header").isNotNull())
-    pairs = with_previous(heads, [f"p{i}" for i in range(len(parts))], ["t", "k"], "header", F.to_date("t"))
-    kind = dict(df.dtypes)[key]
 
-    def compare(batches):
-        for batch in batches:
-            ks, olds, news = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            at, out = [], []
-            for i, (a, b) in enumerate(zip(olds, news, strict=True)):
-                for x in changes(a, b):
-                    at.append(i)
-                    out.append(x)
-            cols = [pa.array([x[j] for x in out], pa.string()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([ks.take(pa.array(at, pa.int64())), *cols], names=["k", "change", "field", "new_field"])
-
-    # equal headers need no comparison, and most versions have them
-    return (
-        pairs.where(F.col("previous").isNotNull() & (F.col("previous") != F.col("header")))
-        .select("k", "previous", "header")
-        .mapInArrow(compare, f"k {kind}, change string, field string, new_field string")
-        .select(F.col("k").alias(key), "change", "field", "new_field")
-        .distinct()
-    )
+def exact_type(v) -> str:
+    if isinstance(v, bool) or not isinstance(v, int):
+        return json_type(v)
+    return "integer" if abs(v) <= 2**53 else "long" if -(2**63) <= v < 2**63 else "big"
 
 
 def promote(kinds: set[str]) -> str:
-    """Least upper bound: a scalar is below string, and everything below array."""
+    """Least upper bound: integer below long and number, every scalar below string, everything below array.
+
+    Types whose common one would lose digits (integers beyond 2^53 beside
+    fractions, or beyond 64 bits) meet in string.
+    """
     kinds = kinds - {"null"}
     if "array" in kinds:
         return "array<string>"
-    if len(kinds) > 1:
-        return "string"
-    return {"boolean": "boolean", "number": "double"}.get(next(iter(kinds), "string"), "string")
+    if kinds and kinds <= {"integer", "long"}:
+        return "bigint"
+    if kinds and kinds <= {"integer", "number"}:
+        return "double"
+    return "boolean" if kinds == {"boolean"} else "string"
 
 
 def union_schema(df: DataFrame, body: str, group: str = "rules") -> dict[str, str]:
-    """Field -> promoted type, over every file. Its size is that of the schema."""
-    heads = read_headers(df.select(F.col(f"`{body}`").alias("body")), "body", group)
-    found = (
-        heads.select(F.explode("header").alias("h")).select("h.field", F.explode("h.types").alias("kind")).distinct()
-        .groupBy("field").agg(F.collect_set("kind").alias("kinds")).collect()
-    )
+    """Field -> promoted type, over every file. Its size is that of the schema, at most MAX_FIELDS."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {(k, t) for x in batch.column(0).to_pylist() for k, ts in header(x, group) or () for t in ts}
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.string()) for j in (0, 1)], names=["field", "kind"])
+
+    heads = df.select(F.col(f"`{body}`").alias("body")).mapInArrow(read, "field string, kind string").distinct()
+    found = heads.groupBy("field").agg(F.collect_set("kind").alias("kinds")).limit(MAX_FIELDS + 1).collect()  # six kinds at most
+    if len(found) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} fields: members named by data are no schema")
     return {r["field"]: promote(set(r["kinds"])) for r in sorted(found, key=lambda r: r["field"])}
 
 
+def union_columns(fields: list[str], taken: list[str]) -> dict[str, str]:
+    """Field -> column: names that are equal but for case are numbered, in order of code points."""
+    used = {t.lower() for t in taken}
+    out = {}
+    for f in sorted(fields):
+        name, n = f, 1
+        while name.lower() in used:
+            n += 1
+            name = f"{f}__{n}"
+        used.add(name.lower())
+        out[f] = name
+    return out
+
+
 def union_table(df: DataFrame, key: str, body: str, group: str = "rules") -> DataFrame:
     """One row per member of the group (position -1: a file without any), cast to the union schema.
 
     Columns are the fields' dotted paths; the pack's own fields repeat on each of its rows.
     """
     schema = union_schema(df, body, group)
+    columns = union_columns(list(schema), [key, f"{group}_pos"])
     kind = dict(df.dtypes)[key]
 
     def read(batches):
@@ -260,5 +325,5 @@ def union_table(df: DataFrame, key: str, body: str, group: str = "rules") -> Dat
             c = v
         else:
             c = v.try_cast(to)
-        cols.append(c.alias(name))
+        cols.append(c.alias(columns[name]))
     return rows.select(F.col("k").alias(key), F.col("pos").alias(f"{group}_pos"), *cols)

@@ -256,3 +256,41 @@ def test_versions_without_times(spark):
     df = spark.createDataFrame(rows, "file_key long, source string, path string, written_at timestamp, body string")
     got = rows_of(drift.schema_changes(df, "file_key", ["source", "path"], "written_at", "body"))
     assert [x[0] for x in got] == [1, 1, 2, 2, 3, 3]
+
+
+def test_a_file_that_spans_many_tasks(spark):
+    rows = []
+    for i in range(400):
+        body = {"a": 1, "rules": [{"id": "x", ("p" if i % 7 < 3 else "q"): i % 5}]}
+        rows.append((i, "s", "one" if i % 3 else "two", T0 + timedelta(minutes=i), json.dumps(body)))
+    df = spark.createDataFrame(rows, "file_key long, source string, path string, written_at timestamp, body string")
+    want, last = [], {}
+    for k, _, path, _, body in rows:
+        v = drift.Version.read(body, "rules", "id")
+        if path in last:
+            want += [(k, *x) for x in drift.changes(last[path], v)]
+        last[path] = v
+    for n in ("1", "7", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert rows_of(drift.schema_changes(df, "file_key", ["source", "path"], "written_at", "body")) == sorted(want)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_union_of_names_that_differ_in_case_and_of_long_integers(spark):
+    bodies = [
+        {"n": 2**60, "m": 1, "x": 2**70, "rules": [{"id": "a", "matcher": {"Kind": "K", "kind": "k"}, "FILE_KEY": "f"}]},
+        {"n": 3, "m": 0.5, "rules": [{"id": "b", "matcher": {"KIND": True}}]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "file_key long, body string")
+    got = drift.union_table(df, "file_key", "body")
+    assert {c: t for c, t in got.dtypes if c != "file_key"} == {
+        "rules_pos": "bigint", "m": "double", "n": "bigint", "x": "string", "rules.FILE_KEY": "string", "rules.id": "string",
+        "rules.matcher.KIND": "boolean", "rules.matcher.Kind__2": "string", "rules.matcher.kind__3": "string",
+    }
+    one, two = (r.asDict() for r in got.orderBy("file_key").collect())
+    assert one["n"] == 2**60 and one["x"] == str(2**70) and one["rules.matcher.Kind__2"] == "K" and one["rules.matcher.kind__3"] == "k" and two["rules.matcher.KIND"] is True and two["m"] == 0.5
+    assert drift.union_columns(["file_KEY", "a"], ["file_key"]) == {"a": "a", "file_KEY": "file_KEY__2"}
