@@ -10,8 +10,8 @@ asked for. Without a size, the mix is the largest that meets the targets.
 Weights become token budgets. A source goes in whole as often as its budget
 allows; of the next pass it gives a prefix of a pseudo-random permutation, cut
 where the budget ends. The permutation is one of blocks: totals of hash blocks
-are summed first, and only the block that holds the cut is ordered row by row.
-So no source, however large, has its rows sorted in one place.
+are summed first, and rows are ordered within their block alone. So no source,
+however large, has its rows sorted in one place.
 
 Defined results
 * Spellings of a source (case, blanks, `_` for `-`) are one source; null and
@@ -38,6 +38,7 @@ from codelode.session import cut
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 BLOCK_ROWS = 2000  # aimed at; what the one cut block of a source holds
+_MANY = 1024  # blocks that are added up together
 _TEXTS = 256
 
 
@@ -135,8 +136,13 @@ def solve(
     return weights, min(total, largest(weights)) if total is not None else largest(weights), exponent
 
 
-def mix(counted: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """The mix (k, source, tokens, uses, block), and per target its share asked for and reached.
+def mix(counted: DataFrame, targets: DataFrame, total: float | None = None, of_corpus: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The mix (k, source, tokens, uses, block, position), and per target its share asked for and reached.
+
+    position is the text's place in its source's permutation, from 0: each pass goes
+    through it in that order, and the last one ends where the budget does. With
+    `of_corpus` the total is so many times the tokens of all named sources, and the
+    exponent is bisected to what the repeats allow at that size.
 
     counted: (k, source, tokens); targets: (source, target_share, max_repeats), a table of a few named sources.
     """
@@ -150,7 +156,9 @@ def mix(counted: DataFrame, targets: DataFrame, total: float | None = None) -> t
     }
     counted = cut(counted.where(F.col("source").isin(list(wanted))))
     found = {r["source"]: r for r in counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).collect()}
-    weights, size, _ = solve(
+    if total is None and of_corpus:
+        total = of_corpus * sum(r["tokens"] for r in found.values())
+    weights, size, exponent = solve(
         {s: r["tokens"] for s, r in found.items()},
         {s: r["repeats"] or 0 for s, r in wanted.items()},
         {s: r["share"] or 0.0 for s, r in wanted.items()},
@@ -164,21 +172,27 @@ def mix(counted: DataFrame, targets: DataFrame, total: float | None = None) -> t
         plan.append((s, passes, float(max(0.0, rest)), max(1, math.ceil(found[s]["rows"] / BLOCK_ROWS))))
     plans = F.broadcast(spark.createDataFrame(plan, "source string, passes int, rest double, blocks int"))  # a row per target
     place = F.xxhash64(F.lit(20), F.col("k"))
-    rows = counted.join(plans, "source").withColumn("block", F.pmod(place, F.col("blocks")).cast("int"))
-    by_block = rows.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = by_block.withColumn("start", F.coalesce(before, F.lit(0)))
-    # blocks before the cut are whole; one block a source is cut; those behind it give nothing
-    cut_at = starts.where((F.col("start") < F.col("rest")) & (F.col("start") + F.col("size") > F.col("rest"))).select("source", F.col("block").alias("cut"), "start")
-    placed = rows.join(F.broadcast(cut_at), "source", "left")  # at most a row per target
-    in_cut = placed.where(F.col("block") == F.col("cut"))
-    so_far = F.sum("tokens").over(Window.partitionBy("source").orderBy(place, "k"))
-    last = in_cut.withColumn("extra", (F.col("start") + so_far <= F.col("rest")).cast("int"))
-    whole = placed.where(F.col("cut").isNull() | (F.col("block") != F.col("cut"))).withColumn(
-        "extra", ((F.col("rest") > 0) & (F.col("block") < F.coalesce("cut", F.col("blocks")))).cast("int")
+    rows = counted.join(plans, "source").withColumn("block", F.pmod(place, F.col("blocks")).cast("int")).withColumn("many", F.floor(F.col("block") / _MANY))
+    # where each block starts, in tokens and rows: blocks are added up within groups of them, and the groups
+    by_block = rows.groupBy("source", "many", "block").agg(F.sum("tokens").alias("size"), F.count("*").alias("n"))
+    by_many = by_block.groupBy("source", "many").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups, blocks = Window.partitionBy("source").orderBy("many"), Window.partitionBy("source", "many").orderBy("block")
+    by_many = by_many.select("source", "many", upto("size", groups).alias("size0"), upto("n", groups).alias("n0"))
+    starts = by_block.withColumn("start", upto("size", blocks)).withColumn("first", upto("n", blocks)).join(by_many, ["source", "many"])
+    starts = starts.select("source", "block", (F.col("start") + F.col("size0")).alias("start"), (F.col("first") + F.col("n0")).alias("first"))
+    within = Window.partitionBy("source", "block").orderBy("place", "k")
+    placed = (
+        rows.withColumn("place", place)
+        .withColumn("so_far", F.sum("tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("number", F.row_number().over(within) - 1)
+        .join(starts, ["source", "block"])
     )
-    columns = ["k", "source", "tokens", (F.col("passes") + F.col("extra")).alias("uses"), "block"]
-    mixed = whole.select(*columns).unionByName(last.select(*columns)).where(F.col("uses") > 0)
+    # a text of the last pass counts if it ends within what the budget leaves
+    extra = (F.col("start") + F.col("so_far") <= F.col("rest") + 1e-6).cast("int")
+    mixed = placed.select(
+        "k", "source", "tokens", (F.col("passes") + extra).alias("uses"), "block", (F.col("first") + F.col("number")).alias("position")
+    ).where(F.col("uses") > 0)
     used = mixed.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"), F.count("*").alias("docs_used"), F.max("uses").alias("most_uses")
     )
@@ -193,7 +207,7 @@ def mix(counted: DataFrame, targets: DataFrame, total: float | None = None) -> t
         .select(
             "source", "target_share", "max_repeats", "tokens_available", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"),
             F.coalesce("docs_used", F.lit(0)).alias("docs_used"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
-            F.coalesce(F.col("tokens_used") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
+            F.coalesce(F.col("tokens_used") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), F.lit(exponent).alias("exponent"),
         )
     )
     return mixed, shares

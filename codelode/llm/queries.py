@@ -65,9 +65,9 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.cleaned(_marked_up(spark, d)).distinct()
 
 
-def _mix(spark: SparkSession, d: str, tokenizer: str | None) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str, tokenizer: str | None, of_corpus: float | None = None) -> tuple[DataFrame, DataFrame]:
     counted = mixing.count_tokens(table(spark, d, "documents"), "doc_id", "source", "text", tokenizer or mixing.tokenizer_path())
-    return mixing.mix(counted, table(spark, d, "mix_targets"))
+    return mixing.mix(counted, table(spark, d, "mix_targets"), of_corpus=of_corpus)
 
 
 def p8_mix(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
@@ -78,6 +78,15 @@ def p8_shares(spark: SparkSession, d: str, tokenizer: str | None = None) -> Data
     return _mix(spark, d, tokenizer)[1]
 
 
+def p8_tempered(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
+    """A mix twice as large as the corpus, as close to the targets as the repeats allow."""
+    return _mix(spark, d, tokenizer, 2.0)[0].withColumnRenamed("k", "doc_id")
+
+
+def p8_tempered_shares(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
+    return _mix(spark, d, tokenizer, 2.0)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "documents").where(F.col("doc_id").isNotNull()), "doc_id", "text")
 
@@ -87,7 +96,7 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_kept": p9_kept, "p2_found": p2_found, "p2_clean": p2_clean, "p1_found": p1_found, "p1_passages": p1_passages, "p1_shares": p1_shares, "p4_found": p4_found, "p4_members": p4_members, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    return {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_tempered": p8_tempered, "p8_tempered_shares": p8_tempered_shares, "p9_found": p9_found, "p9_kept": p9_kept, "p2_found": p2_found, "p2_clean": p2_clean, "p1_found": p1_found, "p1_passages": p1_passages, "p1_shares": p1_shares, "p4_found": p4_found, "p4_members": p4_members, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 _P4_SQL = r"""

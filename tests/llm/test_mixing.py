@@ -68,3 +68,35 @@ def test_odd_rows_are_not_counted(spark):
     )
     got = {r.k: (r.source, r.tokens) for r in mixing.count_tokens(df, "doc_id", "source", "text", mixing.tokenizer_path()).collect()}
     assert set(got) == {1, 5} and got[1] == ("rule-docs", 2) and got[5][0] == "x"
+
+
+def test_blocks_that_end_at_the_budget(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 1)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    for first in (40, 60, 80):
+        rows = [(i, "a", 10) for i in range(8)] + [(first + i, "b", 10) for i in range(4)] + [(first + 4 + i, "b", 10) for i in range(4)]
+        counted = spark.createDataFrame(rows[:12], "k long, source string, tokens long")
+        mixed, shares = mixing.mix(counted, targets)
+        assert {r.source: r.tokens_used for r in shares.collect()} == {"a": 40, "b": 40}
+        for s, n in (("a", 4), ("b", 4)):
+            assert sorted(r.position for r in mixed.where(f"source = '{s}'").collect()) == list(range(n))
+
+
+def test_many_blocks_keep_one_order(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(mixing, "_MANY", 4)
+    counted = spark.createDataFrame([(i, "a", 1 + i % 7) for i in range(300)], "k long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 1.0, 3)], "source string, target_share double, max_repeats int")
+    whole = counted.agg({"tokens": "sum"}).first()[0]
+    mixed, _ = mixing.mix(counted, targets, total=whole * 1.5)
+    rows = sorted((r.position, r.uses, r.tokens) for r in mixed.collect())
+    assert [p for p, _, _ in rows] == list(range(300)) and [u for _, u, _ in rows] == sorted((u for _, u, _ in rows), reverse=True)
+    assert whole * 1.5 - 7 < sum(u * t for _, u, t in rows) <= whole * 1.5
+
+
+def test_tempering_bends_the_targets_to_the_repeats(spark, sf):
+    shares = {r.source: r for r in queries.p8_tempered_shares(spark, sf).collect()}
+    exponent = next(iter(shares.values())).exponent
+    assert 0 < exponent < 1 and all(r.most_uses <= r.max_repeats for r in shares.values())
+    exact = {r.source: r for r in queries.p8_shares(spark, sf).collect()}
+    assert all(r.exponent == 1.0 for r in exact.values()) and sum(r.tokens_used for r in shares.values()) > sum(r.tokens_used for r in exact.values())
