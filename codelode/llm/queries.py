@@ -79,12 +79,12 @@ def p8_shares(spark: SparkSession, d: str, tokenizer: str | None = None) -> Data
 
 
 def p8_tempered(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
-    """A mix twice as large as the corpus, as close to the targets as the repeats allow."""
-    return _mix(spark, d, tokenizer, 2.0)[0].withColumnRenamed("k", "doc_id")
+    """A mix as large as the corpus, as close to the targets as the repeats allow."""
+    return _mix(spark, d, tokenizer, 1.0)[0].withColumnRenamed("k", "doc_id")
 
 
 def p8_tempered_shares(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
-    return _mix(spark, d, tokenizer, 2.0)[1]
+    return _mix(spark, d, tokenizer, 1.0)[1]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

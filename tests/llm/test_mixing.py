@@ -95,8 +95,10 @@ def test_many_blocks_keep_one_order(spark, monkeypatch):
 
 
 def test_tempering_bends_the_targets_to_the_repeats(spark, sf):
-    shares = {r.source: r for r in queries.p8_tempered_shares(spark, sf).collect()}
-    exponent = next(iter(shares.values())).exponent
-    assert 0 < exponent < 1 and all(r.most_uses <= r.max_repeats for r in shares.values())
-    exact = {r.source: r for r in queries.p8_shares(spark, sf).collect()}
-    assert all(r.exponent == 1.0 for r in exact.values()) and sum(r.tokens_used for r in shares.values()) > sum(r.tokens_used for r in exact.values())
+    counted = spark.createDataFrame([(i, "a", 10) for i in range(90)] + [(100 + i, "b", 10) for i in range(10)], "k long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 4)], T)
+    shares = {r.source: r for r in mixing.mix(counted, targets, of_corpus=1.0)[1].collect()}
+    # the targets allow 800 tokens of the 1000; at the size of the corpus b gives all of its four passes at most
+    assert 0 < shares["a"].exponent < 1 and shares["b"].tokens_used == 400 and shares["a"].tokens_used == 600
+    got = {r.source: r for r in queries.p8_tempered_shares(spark, sf).collect()}
+    assert all(0 <= r.exponent <= 1 and r.most_uses <= r.max_repeats for r in got.values())
