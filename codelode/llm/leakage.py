@@ -8,9 +8,9 @@ theirs, so an item and a document are each known by a fraction of their windows.
 Documents are read once, their windows filtered by the items' minima, and what is
 left is verified by comparing whole windows word by word.
 
-The filter holds one 64-bit number per distinct minimum of the items. It is sent
-to the executors if there are at most MAX_MINIMA of them (32 MB); beyond that the
-windows go unfiltered into the same join, with the same result.
+The filter is a Bloom filter of the items' minima, one for all sizes. Its bits are
+set and merged on the executors, and its size is fixed (BITS, 16 MB), whatever the
+number of items; more items only let more windows through to the exact join.
 
 Defined results
 * Null, empty and wordless texts hold nothing and are held by nothing.
@@ -32,7 +32,7 @@ from codelode.llm.words import WordHashes, mix, words
 
 WINDOW = 12
 SHINGLE = 5
-MAX_MINIMA = 4_000_000
+BITS = 27  # the filter has 2 to this many
 _BATCH = 200_000  # words handled at once
 
 
@@ -52,10 +52,20 @@ def window_minima(hashes: np.ndarray, window: int, shingle: int = SHINGLE) -> np
     return out
 
 
+def _places(minima: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each minimum of a size."""
+    h = mix(minima + np.uint64(size) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return h >> np.uint64(64 - BITS), h & np.uint64((1 << BITS) - 1)
+
+
+def _known(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], own_size: bool, wanted) -> Iterator[pa.RecordBatch]:
-    """(id, size, minimum, text) of windows; of items only those of their own partition's size."""
+    """(id, size, minimum, text) of windows, each once a text; of items only those of their own partition's size."""
     hashes = WordHashes()
-    table = None if wanted is None else wanted.value
+    bits = None if wanted is None else wanted.value
     for batch in batches:
         ids, lists = batch.column(0), batch.column(1)
         offsets = np.asarray(lists.offsets)
@@ -78,17 +88,17 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], own_size: bool
                 if own_size:
                     length = np.diff(edge)[doc[: len(m)]]
                     good &= (length == size) if size < WINDOW else (length >= size)
-                if table is not None:
-                    known = table.get(size)
-                    if known is None:
-                        continue
-                    at = np.minimum(np.searchsorted(known, m), len(known) - 1)
-                    good &= known[at] == m
+                if bits is not None:
+                    one, two = _places(m, size)
+                    good &= _known(bits, one)
+                    good[good] = _known(bits, two[good])
+                seen = set()  # a window that a text repeats counts once
                 for p in np.flatnonzero(good):
-                    rows[0].append(i + int(doc[p]))
-                    rows[1].append(size)
-                    rows[2].append(int(m[p].view(np.int64)))
-                    rows[3].append(" ".join(ws[p : p + size]))
+                    row = (i + int(doc[p]), size, int(m[p].view(np.int64)), " ".join(ws[p : p + size]))
+                    if row not in seen:
+                        seen.add(row)
+                        for column, x in zip(rows, row, strict=True):
+                            column.append(x)
             if rows[0]:
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.string())],
@@ -108,24 +118,32 @@ def _run(df: DataFrame, key: str, text: str, sizes: list[int], own_size: bool, w
     )
 
 
+def _filter(item_windows: DataFrame) -> np.ndarray:
+    """The Bloom filter of the minima, as 64-bit words; only words with bits come to the driver, at most 2^BITS / 64."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, m = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for s in np.unique(size):
+                at = np.concatenate(_places(m[size == s], int(s)))
+                word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], names=["word", "bit"])
+
+    words = item_windows.select("size", "minimum").mapInArrow(places, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = words.toArrow()
+    bits = np.zeros(1 << (BITS - 6), np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
 def find_leaks(
     docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, window: int = WINDOW
 ) -> DataFrame:
     """(doc_key, item_key, windows): items of which a document holds `window` words in a row, or all of a shorter one."""
     spark = docs.sparkSession
     item_windows = _run(items, item_key, item_text, list(range(1, window + 1)), True).distinct()
-    minima = item_windows.select("size", "minimum").distinct()
-    found = minima.take(MAX_MINIMA + 1)
-    found = found if len(found) <= MAX_MINIMA else None
-    wanted, sizes = None, list(range(1, window + 1))
-    if found is not None:
-        by_size: dict[int, list[int]] = {}
-        for r in found:
-            by_size.setdefault(r["size"], []).append(r["minimum"])
-        sizes = sorted(by_size)
-        wanted = spark.sparkContext.broadcast(
-            {s: np.sort(np.array(m, np.int64).view(np.uint64)) for s, m in by_size.items()}
-        )
+    sizes = sorted(r["size"] for r in item_windows.select("size").distinct().collect())  # at most `window` of them
+    wanted = spark.sparkContext.broadcast(_filter(item_windows))
     doc_windows = _run(docs, doc_key, doc_text, sizes, False, wanted)
     return (
         doc_windows.withColumnRenamed("id", "doc")

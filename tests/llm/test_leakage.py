@@ -48,8 +48,8 @@ def test_small_and_odd_texts(spark):
     assert run(spark, docs[:0], items) == [] and run(spark, docs, items[:0]) == []
 
 
-def test_without_the_filter(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MAX_MINIMA", 0)
+def test_a_crowded_filter_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BITS", 6)
     docs, items = [(1, "one two three four five six seven"), (2, "two three")], [(1, "two three"), (2, "nine")]
     assert run(spark, docs, items) == [(1, 1), (2, 1)]
 
