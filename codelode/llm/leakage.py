@@ -52,10 +52,10 @@ def window_minima(hashes: np.ndarray, window: int, shingle: int = SHINGLE) -> np
     return out
 
 
-def _places(minima: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _places(minima: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bits of the filter for each minimum of a size."""
     h = mix(minima + np.uint64(size) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return h >> np.uint64(64 - BITS), h & np.uint64((1 << BITS) - 1)
+    return h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)
 
 
 def _known(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -89,7 +89,7 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], own_size: bool
                     length = np.diff(edge)[doc[: len(m)]]
                     good &= (length == size) if size < WINDOW else (length >= size)
                 if bits is not None:
-                    one, two = _places(m, size)
+                    one, two = _places(m, size, len(bits).bit_length() + 5)  # a power of two of 64-bit words
                     good &= _known(bits, one)
                     good[good] = _known(bits, two[good])
                 seen = set()  # a window that a text repeats counts once
@@ -118,32 +118,32 @@ def _run(df: DataFrame, key: str, text: str, sizes: list[int], own_size: bool, w
     )
 
 
-def _filter(item_windows: DataFrame) -> np.ndarray:
-    """The Bloom filter of the minima, as 64-bit words; only words with bits come to the driver, at most 2^BITS / 64."""
+def _filter(item_windows: DataFrame, size_bits: int) -> np.ndarray:
+    """The Bloom filter of the minima, as 64-bit words; only words with bits come to the driver, at most 2^size_bits / 64."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, m = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             for s in np.unique(size):
-                at = np.concatenate(_places(m[size == s], int(s)))
+                at = np.concatenate(_places(m[size == s], int(s), size_bits))
                 word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], names=["word", "bit"])
 
     words = item_windows.select("size", "minimum").mapInArrow(places, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     found = words.toArrow()
-    bits = np.zeros(1 << (BITS - 6), np.uint64)
+    bits = np.zeros(1 << (size_bits - 6), np.uint64)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return bits
 
 
 def find_leaks(
-    docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, window: int = WINDOW
+    docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, window: int = WINDOW, bits: int = BITS
 ) -> DataFrame:
     """(doc_key, item_key, windows): items of which a document holds `window` words in a row, or all of a shorter one."""
     spark = docs.sparkSession
     item_windows = _run(items, item_key, item_text, list(range(1, window + 1)), True).distinct()
     sizes = sorted(r["size"] for r in item_windows.select("size").distinct().collect())  # at most `window` of them
-    wanted = spark.sparkContext.broadcast(_filter(item_windows))
+    wanted = spark.sparkContext.broadcast(_filter(item_windows, bits))
     doc_windows = _run(docs, doc_key, doc_text, sizes, False, wanted)
     return (
         doc_windows.withColumnRenamed("id", "doc")
