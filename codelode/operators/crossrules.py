@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from codelode.functions import scalars as S
 
 #: names of fields that should not leave a service, without case and separators (fixed values)
-SENSITIVE_PARTS = ["password", "secret", "privatekey", "creditcard"]
-SENSITIVE_NAMES = ["token", "ssn", "pin", "cvv", "session"]
-SENSITIVE_ENDS = ["token", "apikey", "hash"]
+SENSITIVE_PARTS = ["password", "passwd", "secret", "apikey", "privatekey", "credential", "passphrase", "salt"]
+SENSITIVE_NAMES = ["token", "jwt", "hash", "pwd", "ssn", "otp"]
+SENSITIVE_ENDS = ["token"]
 
 
 def sensitive_fields(responses: DataFrame, used: DataFrame) -> DataFrame:
     """(source, key, field, consumed): response fields of sensitive names; graver where some edge consumes the key. responses: source, key, field."""
-    n = F.lower(F.regexp_replace("field", "[_\\-\\s]", ""))
+    n = F.lower(F.regexp_replace("field", "[_-]", ""))
     hit = n.rlike("|".join(SENSITIVE_PARTS)) | n.isin(*SENSITIVE_NAMES) | n.rlike("(" + "|".join(SENSITIVE_ENDS) + ")$")
     keys = used.select("key").distinct().withColumn("consumed", F.lit(True))
     return responses.where(hit).select("source", "key", "field").distinct().join(keys, "key", "left").select("source", "key", "field", F.coalesce("consumed", F.lit(False)).alias("consumed"))

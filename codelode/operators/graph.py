@@ -132,8 +132,8 @@ def unreachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     return d.where("fan_in > 0").join(reachable(edges, start), "node", "left_anti").select("node", "fan_in")
 
 
-def dependents(edges: DataFrame, depth: int) -> DataFrame:
-    """(node, dependents): how many nodes reach a node within `depth` steps, itself aside."""
+def dependents(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, dependents): how many nodes reach a node, itself aside; within `depth` steps if given."""
     reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     nodes = edges.select(F.col("dst").alias("node")).distinct()
     return reach(reverse, nodes, depth).where("depth > 0").groupBy(F.col("start").alias("node")).agg(F.count("*").alias("dependents"))

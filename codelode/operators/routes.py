@@ -50,13 +50,14 @@ def base_url_drift(rekeyed: DataFrame) -> DataFrame:
 
 
 def version_inconsistency(rekeyed: DataFrame) -> DataFrame:
-    """Hosts called under several versions, or with and without one."""
-    s = F.filter(F.split("path", "/"), S.is_version)
-    x = external(rekeyed).withColumn("version", F.get(s, F.lit(0)))
+    """Hosts with paths that name a version and paths that name none; paths without a literal segment say nothing."""
+    s = F.filter(F.split("path", "/"), lambda v: v != "")
+    x = external(rekeyed).where(F.exists(s, lambda v: v != "{}")).withColumn("versioned", F.exists(s, S.is_version))
     g = x.groupBy(F.col("h").alias("host")).agg(
-        F.count("version").alias("versioned"), F.count_if(F.col("version").isNull()).alias("plain"), F.count_distinct("version").alias("versions")
+        F.count_distinct(F.when(F.col("versioned"), F.col("path"))).alias("versioned"), F.count_distinct(F.when(~F.col("versioned"), F.col("path"))).alias("plain"),
+        F.count_distinct("source").alias("sources"),
     )
-    return g.where((F.col("versions") >= 2) | ((F.col("versioned") > 0) & (F.col("plain") > 0)))
+    return g.where((F.col("versioned") > 0) & (F.col("plain") > 0))
 
 
 def unresolved_ratio(classified: DataFrame, least: int = 5) -> DataFrame:

@@ -192,7 +192,8 @@ def oracle_sql() -> dict[str, str]:
         + """, y AS (SELECT path, regexp_extract(h, '([^.]+\\.[^.]+)$', 1) AS domain, count(DISTINCT h) AS hosts, min(h) AS first_host, count(*) AS calls FROM x WHERE length(path) - length(replace(path, '/', '')) >= 2 GROUP BY ALL)
           SELECT * FROM y WHERE hosts >= 2""",
         "version_inconsistency": _EXT
-        + "SELECT h AS host, count(*) FILTER (WHERE regexp_matches(path, '(^|/)v[0-9]+(/|$)')) AS versioned, count(*) FILTER (WHERE NOT regexp_matches(path, '(^|/)v[0-9]+(/|$)')) AS plain, count(DISTINCT regexp_extract(path, '/(v[0-9]+)(/|$)', 1)) AS versions FROM x GROUP BY h HAVING versions >= 2 OR (versioned > 0 AND plain > 0)",
+        + """SELECT h AS host, count(DISTINCT path) FILTER (WHERE pinned) AS versioned, count(DISTINCT path) FILTER (WHERE NOT pinned) AS plain, count(DISTINCT source) AS sources
+          FROM (SELECT *, regexp_matches(path, '(^|/)v[0-9]+(/|$)') AS pinned FROM x WHERE regexp_matches(path, '/[^/{]')) GROUP BY h HAVING versioned > 0 AND plain > 0""",
         "unresolved_ratio": _LINK + "SELECT source, count(*) AS total, count(*) FILTER (WHERE bucket = 'unresolved') AS unresolved, 2 * count(*) FILTER (WHERE bucket = 'unresolved') >= count(*) AS majority FROM c GROUP BY source HAVING count(*) >= 5",
         "unjoined_sources": _LINK + "SELECT source, count(*) FILTER (WHERE bucket IN ('unprovided', 'ambiguous')) AS waiting, count(*) FILTER (WHERE bucket = 'edge') AS joined FROM c GROUP BY source",
         "unprovided_mutations": _LINK + "SELECT id, source, join_key FROM m WHERE split_part(join_key, ' ', 1) IN ('POST', 'PUT', 'PATCH', 'DELETE')",

@@ -202,9 +202,34 @@ def test_incremental_store_and_feed(spark, tmp_path):
 def test_cross_rules(spark):
     p = spark.createDataFrame([("a", "http", "GET /x/y", "f", 1, ""), ("b", "http", "GET /x/{}", "f", 1, ""), ("a", "http", "GET /x/{}", "f", 2, ""), ("b", "http", "GET /{}/{}", "f", 3, "")], P)
     assert rows(crossrules.shadowed_across(p)) == [("a", "GET /x/y", "b", "GET /x/{}")]
-    r = spark.createDataFrame([("s", "k", "user_password"), ("s", "k", "Pin"), ("s", "k2", "refresh-token"), ("s", "k2", "pinned")], "source string, key string, field string")
-    assert rows(crossrules.sensitive_fields(r, spark.createDataFrame([("k",)], "key string"))) == [("s", "k", "Pin", True), ("s", "k", "user_password", True), ("s", "k2", "refresh-token", False)]
+    r = spark.createDataFrame([("s", "k", "user_password"), ("s", "k", "Pin"), ("s", "k2", "refresh-token"), ("s", "k2", "tokenCount"), ("s", "k2", "contentHash"), ("s", "k", "hash"), ("s", "k2", "API_KEY")], "source string, key string, field string")
+    assert rows(crossrules.sensitive_fields(r, spark.createDataFrame([("k",)], "key string"))) == [("s", "k", "hash", True), ("s", "k", "user_password", True), ("s", "k2", "API_KEY", False), ("s", "k2", "refresh-token", False)]
     e = spark.createDataFrame([("POST /a", True), ("POST /b", True), ("GET /c", True), ("PUT /d", False)], "key string, retry_configured boolean")
     assert rows(crossrules.retried_writes(e, spark.createDataFrame([("POST /b",)], "key string"))) == [("POST /a", True)]
     m = spark.createDataFrame([("s", "1"), ("s", "2"), ("s", "3"), ("t", "1")], "source string, path string")
     assert rows(crossrules.silent_sources(m, m.where("source = 't'"))) == [("s", 3)]
+
+
+def test_recommendations_and_critical_files(spark):
+    from codelode.operators import advice
+
+    n = "path string, change_count long, churn long, loc long, fan_in long, fan_out long, author_count long, risk double, lifecycle string"
+    nodes = spark.createDataFrame(
+        [("a.ts", 9, 900, 50, 10, 3, 2, 100.0, "Volatile"), ("index.ts", 1, 1, 400, 0, 20, 1, 1.0, "Stable"), ("fat.ts", 1, 1, 100, 0, 8, 1, 1.0, "Stable"), ("barrel.ts", 1, 1, 16, 0, 8, 7, 1.0, "Stable"), ("tiny.ts", 0, 0, 1, 0, 0, 0, 100.0, "Stable")], n
+    )
+    fixes = spark.createDataFrame([("a.ts", 5)], "path string, n long")
+    pairs = spark.createDataFrame([("a.ts", "fat.ts", 10), ("a.ts", "tiny.ts", 12), ("fat.ts", "tiny.ts", 9), ("tiny.ts", "a.ts", 12)], "a string, b string, n long")
+    edges = spark.createDataFrame([("tiny.ts", "a.ts")], "src string, dst string")
+    cycles = spark.createDataFrame([(3, "a.ts"), (2, "tiny.ts")], "size long, first string")
+    got = {(r.rule, r.path): (r.measure, r.roi) for r in advice.recommendations(nodes, fixes, pairs, edges, cycles).collect()}
+    assert got == {
+        ("bug-prone", "a.ts"): (5.0, 2.625), ("hot-churn", "a.ts"): (18.0, 1.25), ("fat-fanout", "fat.ts"): (8.0, 0.014), ("knowledge-silo", "barrel.ts"): (7.0, 0.01875),
+        ("versioning-candidate", "a.ts"): (5.0, 1.25), ("hidden-coupling", "a.ts"): (10.0, 1.25), ("circular", "a.ts"): (3.0, 2.625), ("circular", "tiny.ts"): (2.0, 21.0),
+    }
+    chain = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(5)] + [("f5", "f3")], "src string, dst string")
+    from codelode.operators import graph
+
+    d = graph.dependents(chain)
+    assert {r.node: r.dependents for r in d.collect()} == {"f1": 1, "f2": 2, "f3": 5, "f4": 5, "f5": 5}
+    own = spark.createDataFrame([("f3", 1, 9, 10, 1), ("f4", 3, 9, 10, 1), ("f5", 2, 9, 5000, 1), ("f2", 1, 1, 1, 1)], "path string, change_count long, fan_in long, loc long, author_count long")
+    assert [(r.path, r.blast_radius, r.silent) for r in advice.critical_files(own, d).collect()] == [("f5", 5, True), ("f3", 5, True), ("f4", 5, False)]
