@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codelode.plans import advising, ingesting, linking, repository, scanning
+from codelode.plans import advising, facts, ingesting, linking, repository, scanning
 
-_PARTS = [linking, repository, scanning, ingesting, advising]
+_PARTS = [linking, repository, scanning, ingesting, advising, facts]
 
 
 def queries() -> dict:
