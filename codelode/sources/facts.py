@@ -67,7 +67,7 @@ _IMPORTS = {
     "py": ((r"(?m)^[ \t]*from\s+(?P<s>[.\w]+)\s+import\s+(?:\((?P<names>[^)]*)\)|(?P<rest>[^\n#]+))", "value"), (r"(?m)^[ \t]*import\s+(?P<s>[\w.]+)", "value")),
     "java": ((r"(?m)^[ \t]*import\s+(?:static\s+)?(?P<s>[\w.*]+)\s*;", "value"),),
     "cs": ((r"(?m)^[ \t]*using\s+(?:static\s+)?(?:\w+\s*=\s*)?(?P<s>[\w.]+)\s*;", "value"),),
-    "rs": ((r"(?m)^[ \t]*(?:pub\s+)?mod\s+(?P<mod>\w+)\s*;", "value"), (r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+(?P<s>[\w:]+)", "value")),
+    "rs": ((r"(?m)^[ \t]*(?:pub\s+)?mod\s+(?P<mod>\w+)\s*;", "value"), (r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+(?P<s>[\w:]*\w)", "value")),
     "go": ((r"(?m)^import\s+(?:[\w.]+\s+)?\"(?P<s>[^\"\n]+)\"", "value"), (r"(?m)^import\s*\((?P<block>[^)]*)\)", "value")),
 }
 _CLIENT = r"(?P<n>axios|ky|got|superagent|\$http|this\.http|http|httpClient|apiClient|client|api)"

@@ -69,7 +69,7 @@ def test_other_languages():
     assert [(x[2], x[3], x[4]) for x in of("A.java", java, "route")] == [("one", "GET", "api/x/{id}"), ("drop", "DELETE", "api")]
     assert [(x[2], x[3]) for x in of("A.java", java, "symbol")] == [("A", "class"), ("one", "function"), ("drop", "function")] and [x[3] for x in of("A.java", java, "egress")] == ["GET"]
     rust = 'use crate::db::Pool;\nmod inner;\npub async fn list() -> u8 { save(1) }\nfn app() { Router::new().route("/t/:id", get(list).delete(drop_it)); }\n'
-    assert [(x[2], x[3]) for x in of("src/lib.rs", rust, "route")] == [("list", "GET"), ("drop_it", "DELETE")] and [x[5] for x in of("src/lib.rs", rust, "import")] == ["src/inner", None]
+    assert [(x[2], x[3]) for x in of("src/lib.rs", rust, "route")] == [("list", "GET"), ("drop_it", "DELETE")] and [x[5] for x in of("src/lib.rs", rust, "import")] == ["src/inner", None] and [x[4] for x in of("src/lib.rs", rust, "import")] == ["inner", "crate::db::Pool"]
     py = 'from .db import save, load\nimport os.path\n@app.route("/p/<int:n>", methods=["GET", "PUT"])\n@login\ndef page(n):\n    return requests.post("https://q.example/r", json={})\nLIMIT = 3\n'
     assert [(x[2], x[3], x[4]) for x in of("web/v.py", py, "route")] == [("page", "GET", "/p/{n}"), ("page", "PUT", "/p/{n}")]
     assert [(x[2], x[5]) for x in of("web/v.py", py, "import")] == [("save", "web/db"), ("load", "web/db"), ("*", "os/path")] and [x[3] for x in of("web/v.py", py, "egress")] == ["POST"]
