@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelode.functions import scalars as S
 from codelode.operators import link, nearmiss, routes
 from codelode.plans.bindings import HOSTS, LOW_CONFIDENCE, ctes, relation
+from codelode.session import cut
 
 
 def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -17,7 +18,8 @@ def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _misses(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     _, provides, c = _sides(s, d)
-    return c.where(F.col("bucket") == "unprovided"), provides
+    # each rule reads the misses several times; the link itself is run once
+    return cut(c.where(F.col("bucket") == "unprovided").select("id", "source", "join_key")), cut(provides)
 
 
 def link_buckets(s, d):

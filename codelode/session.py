@@ -24,10 +24,14 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors see, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a local one is made.
+    Only where that setting is absent and executors are threads of this machine
+    (tests, a laptop) a local one is made; a cluster must name one.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    one_machine = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    if not named and sc.getCheckpointDir() is None and not one_machine:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="codelode-"))
     return named or sc.getCheckpointDir()
