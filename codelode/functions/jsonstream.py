@@ -25,10 +25,14 @@ class NotJson(ValueError):
     pass
 
 
+class Integer(str):
+    """An integer of more digits than the interpreter converts, kept as its digits; it is a number all the same."""
+
+
 def _number(text: str):
     """Equal JSON numbers give equal values: 1, 1.0 and 1e0 are one number."""
     if not any(c in text for c in ".eE"):
-        return int(text) if len(text) < 4000 else text
+        return int(text) if len(text) < 4000 else Integer(text)
     x = float(text)
     return int(x) if x.is_integer() and abs(x) < 2**53 else x
 

@@ -36,7 +36,7 @@ def verb(key: Column) -> Column:
 
 def path_of(key: Column) -> Column:
     """What follows the first blank; null if there is none."""
-    return F.when(F.instr(key, " ") > 0, F.substring(key, F.instr(key, " ") + 1, F.lit(1_000_000)))
+    return F.when(F.instr(key, " ") > 0, F.substr(key, F.instr(key, " ") + 1))
 
 
 def segments(key: Column) -> Column:
@@ -54,7 +54,7 @@ def is_wildcard(key: Column) -> Column:
 
 
 def lower_first(name: Column) -> Column:
-    return F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, 2, 1_000_000))
+    return F.concat(F.lower(F.substring(name, 1, 1)), F.substr(name, F.lit(2)))
 
 
 def ant_to_regex(pattern: str) -> str:

@@ -46,14 +46,14 @@ def config_mounts(provides: DataFrame, mounts: DataFrame) -> DataFrame:
     return provides.join(best, ["source", "file"], "left").withColumn("key", join_path(F.col("prefix"), F.col("key"))).drop("prefix")
 
 
-def router_mounts(routes: DataFrame, mounts: DataFrame, roots: DataFrame, most_depth: int = 32) -> DataFrame:
+def router_mounts(routes: DataFrame, mounts: DataFrame, roots: DataFrame) -> DataFrame:
     """(router, key): routes under every chain of mounts from a root. routes: router, key; mounts: parent, child, prefix; roots: router.
 
-    A router is not mounted under itself again, so cycles end.
+    A router is not mounted under itself again, so cycles end, and with them the rounds.
     """
     seen = cut(roots.select("router").distinct().select("router", F.lit("").alias("prefix"), F.array("router").alias("chain")))
     frontier = seen
-    for _ in range(most_depth):
+    while True:
         step = frontier.join(mounts.withColumnRenamed("prefix", "own"), F.col("router") == F.col("parent")).where(~F.array_contains("chain", F.col("child")))
         step = cut(step.select(F.col("child").alias("router"), F.concat(F.col("prefix"), F.lit("/"), F.col("own")).alias("prefix"), F.concat(F.col("chain"), F.array("child")).alias("chain")))
         if step.isEmpty():

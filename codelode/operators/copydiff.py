@@ -5,7 +5,7 @@ are added up per (key bucket, column), those of one copy with a minus sign, so
 a cell that is not zero names a bucket and a column in which the copies differ.
 Values are read and joined for such buckets alone, and compared in such columns
 alone. Sums of 32-bit halves of two independent 64-bit hashes are kept per cell:
-they cannot overflow below 2^31 rows a bucket, and equal sums of unequal
+they cannot overflow below 2^31 rows a bucket (there are about ROWS_A_BUCKET), and equal sums of unequal
 contents have a chance of about 2^-128.
 
 Defined results
@@ -23,8 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 1 << 20  # bounds what is broadcast: one row of 24 bytes per unequal bucket
+from codelode.session import cut
+
 ROWS_A_BUCKET = 8
+BROADCAST_BUCKETS = 1 << 18  # so many unequal buckets (24 bytes each) are sent to every executor; more are joined by shuffle
 
 
 def _cell_hash(seed: int, key: Column, value: Column) -> Column:
@@ -33,7 +35,7 @@ def _cell_hash(seed: int, key: Column, value: Column) -> Column:
 
 
 def _bucket(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(977), key), F.lit(n)).cast("int")
+    return F.pmod(F.xxhash64(F.lit(977), key), F.lit(n).cast("bigint"))
 
 
 def _keyed(df: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
@@ -61,18 +63,10 @@ def _current_hashes(rows: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _current_values(rows: DataFrame, n: int, side: str) -> DataFrame:
-    return (
-        rows.select("k", F.struct("o", _row_hash(n).alias("r"), *[f"v{i}" for i in range(n)]).alias("s"))
-        .groupBy("k")
-        .agg(F.max("s").alias(side))
-    )
-
-
 def buckets_for(rows: int) -> int:
-    """A power of two with about ROWS_A_BUCKET rows each, bounded by MAX_BUCKETS."""
+    """A power of two with about ROWS_A_BUCKET rows each, at every size: a row that differs never drags many others along."""
     n = 256
-    while n < MAX_BUCKETS and n * ROWS_A_BUCKET < rows:
+    while n * ROWS_A_BUCKET < rows:
         n *= 2
     return n
 
@@ -120,12 +114,12 @@ def diff_copies(
     """
     n = len(columns)
     buckets = buckets or buckets_for(max(left.count(), right.count()))
-    unequal = checksum_matrix(left, right, key, columns, order, buckets)
+    unequal = cut(checksum_matrix(left, right, key, columns, order, buckets))  # read by both sides
+    few = unequal.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS
     sides = []
     for df, side in ((left, "a"), (right, "b")):
         rows = _keyed(df, key, columns, order).withColumn("bucket", _bucket(F.col("k"), buckets))
-        # at most MAX_BUCKETS rows, whatever the input
-        rows = rows.join(F.broadcast(unequal), "bucket")
+        rows = rows.join(F.broadcast(unequal) if few else unequal, "bucket")
         found = rows.groupBy("k").agg(
             F.max(F.struct("o", _row_hash(n).alias("r"), *[f"v{i}" for i in range(n)])).alias(side),
             F.first("unequal").alias(f"u{side}"),

@@ -58,7 +58,7 @@ def _stripped(key: Column) -> Column:
     return F.filter(
         F.array(
             *[
-                F.struct(F.array_join(F.slice(s, 1, n), "/").alias("prefix"), F.concat(S.verb(key), F.lit(" /"), F.array_join(F.slice(s, n + 1, 100), "/")).alias("k"), (F.size(s) > n).alias("left"),
+                F.struct(F.array_join(F.slice(s, 1, n), "/").alias("prefix"), F.concat(S.verb(key), F.lit(" /"), F.array_join(F.slice(s, F.lit(n + 1), F.greatest(F.size(s) - n, F.lit(0))), "/")).alias("k"), (F.size(s) > n).alias("left"),
                          F.exists(F.slice(s, 1, n), lambda x: x == "{}").alias("hole"))
                 for n in (1, 2)
             ]

@@ -61,7 +61,7 @@ def commit_files(logs: DataFrame, text: str) -> DataFrame:
 def rebase(files: DataFrame, prefix: str) -> DataFrame:
     """Paths under the prefix, relative to it; others are dropped, as they belong to another tree."""
     p = prefix.rstrip("/") + "/"
-    return files.where(F.col("path").startswith(p)).withColumn("path", F.substring("path", len(p) + 1, 1_000_000))
+    return files.where(F.col("path").startswith(p)).withColumn("path", F.substr("path", F.lit(len(p) + 1)))
 
 
 def read_repository(path: str) -> str:
