@@ -86,7 +86,7 @@ _CONTROLLERS = {
 }
 _EGRESS = {
     "js": (
-        rf"(?<![\w$.])(?P<n>fetch)\s*\(\s*{_STR}(?P<rest>[^;]{{0,400}}?\bmethod\s*:\s*['\"](?P<m>\w+)['\"])?",
+        rf"(?<![\w$.])(?P<n>fetch)\s*\(\s*{_STR}(?P<rest>\s*,\s*\{{[^{{}}]*?\bmethod\s*:\s*['\"](?P<m>\w+)['\"])?",
         rf"(?<![\w$.]){_CLIENT}\.(?P<v>{_V})\s*(?:<[^()]*?>)?\s*\(\s*{_STR}",
         rf"(?<![\w$.])(?P<n>axios)\s*(?:\.request)?\s*\(\s*\{{(?P<body>[^{{}}]*)\}}",
     ),
