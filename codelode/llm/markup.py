@@ -44,7 +44,7 @@ _ELEMENT = re.compile(
     r"|(?P<math><math\b[^>]*>(?P<mb>[\s\S]*?)(?:</math\s*>|$)"
     r"|\$\$(?P<m1>[^$]+?)\$\$|\\\[(?P<m2>[\s\S]+?)\\\]|\\\((?P<m3>[^\n]+?)\\\)"
     rf"|\\begin\{{(?P<e>{_MATH_ENV})\*?\}}(?P<m4>[\s\S]*?)(?:\\end\{{(?P=e)\*?\}}|\Z))"
-    r"|(?P<dollar>(?<![\\$\w])\$(?P<db>[^$\n]{1,300}?)\$(?!\d))"
+    r"|(?P<dollar>(?<![\\$\w])\$(?P<db>[^$\n]+?)\$(?!\d))"
     r"|(?P<block></?(?P<b>h[1-6]|ul|ol|li|p|div|blockquote|table|tr|td|th|dl|dt|dd|section|article|hr)\b[^<>]*>)",
     re.M | re.I,
 )
@@ -133,6 +133,7 @@ def features(value: str, ls: list[Leaf]) -> list[list[str]]:
     pre = [_prefix(x.body) if x.kind == "line" else x.kind for x in ls]
     out = []
     depth = 0
+    lead = len(value) - len(value.lstrip())
     for i, x in enumerate(ls):
         f = ["bias", f"kind={x.kind}", f"kind={x.kind},prefix={pre[i]},whole={x.whole_line}"]
         f += [f"in={t[0] if t[0] == 'h' and t != 'hr' else t}" for t in set(x.tags)]
@@ -147,8 +148,10 @@ def features(value: str, ls: list[Leaf]) -> list[list[str]]:
                 0 if x.body.lstrip().startswith("\\end") else len(re.findall(r"\\end\{(?:itemize|enumerate|description)\}", x.body))
             )
             depth = max(0, depth)
-            before = value[: x.start].rstrip(" \t") if x.start < 4000 else value[x.start - 400 : x.start].rstrip(" \t")
-            blank = not before.strip() or before.endswith("\n\n")
+            j = x.start
+            while j and value[j - 1] in " \t":
+                j -= 1
+            blank = x.start <= lead or value[max(0, j - 2) : j] == "\n\n"
             after = value[x.start + len(x.body) : x.start + len(x.body) + 3]
             gap = not after.strip(" \t\r") or after.startswith(("\n\n",))
             indented = x.body.startswith(("    ", "\t")) and not x.tags

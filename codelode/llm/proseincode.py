@@ -348,7 +348,7 @@ def passages(text: str, kind: str) -> Iterator[tuple[int, int, str, str]]:
 _CJK = re.compile("[가-힣ᄀ-ᇿ㄰-㆏ぁ-ゟ゠-ヿ㐀-鿿]")
 _HANGUL_RE, _KANA_RE = re.compile("[가-힣ᄀ-ᇿ㄰-㆏]"), re.compile("[ぁ-ゟァ-ヺ]")
 #: what stands in prose without being prose and without blanks around it
-_INSERTED = re.compile(r"<!?/?[A-Za-z][^<>\n]{0,200}>|\$?\{[^{}\n]*\}|&\w+;|^[ \t]*@\w+[^\n]*$", re.M)
+_INSERTED = re.compile(r"<!?/?[A-Za-z][^<>\n]*>|\$?\{[^{}\n]*\}|&\w+;|^[ \t]*@\w+[^\n]*$", re.M)
 _NOT_PROSE = re.compile(
     r"^\s*\W*(?:eslint|istanbul|c8 ignore|v8 ignore|noqa|pylint|pyright|mypy|type:|fmt:|isort|flake8|ruff|nosec|nolint|go:|@ts-|ts-|tslint|prettier|jshint|jslint|biome|stylelint|"
     r"webpack|sourceMappingURL|SPDX|Copyright\b|\(c\)|©|Licensed under|All rights reserved|region\b|endregion|#\w|pragma|language=|noinspection|rustfmt|clippy|cspell|spell-?checker|"
