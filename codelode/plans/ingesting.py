@@ -29,7 +29,7 @@ def envelope_provides(s, d):
     p = relation(s, d, "provides")
     io = F.struct(F.collect_list(F.struct("kind", "key", "line", "symbol")).alias("provides"))
     f = p.groupBy("source", "file").agg(io.alias("io"))
-    e = F.to_json(F.struct(F.lit(envelope.FORMAT).alias("format"), F.lit(2).alias("version"), F.lit("t").alias("parser"), "source", F.array(F.struct(F.col("file").alias("path"), "io")).alias("files")))
+    e = F.to_json(F.struct(F.lit(envelope.FORMAT).alias("format"), F.lit(envelope.VERSION).alias("version"), F.lit("t").alias("parser"), "source", F.array(F.struct(F.col("file").alias("path"), "io")).alias("files")))
     parsed = envelope.parse(f.select(e.alias("text"), F.lit(1).alias("k")), "k", "text")
     return envelope.provides(parsed).select("source", "file", "kind", "key", "line", "symbol")
 

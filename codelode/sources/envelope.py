@@ -7,15 +7,18 @@ fixed schema; nothing is inferred.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FORMAT, VERSION = "normalized-facts", 2
-SCHEMA = """format string, version int, parser string, source string, files array<struct<path:string, loc:int,
-  symbols:array<struct<id:string,name:string,kind:string,line:int,exported:boolean,body_start:int,body_end:int>>,
-  imports:array<struct<local:string,specifier:string,original:string,deferred:boolean,type_only:boolean>>,
-  io:struct<provides:array<struct<kind:string,key:string,line:int,symbol:string>>,consumes:array<struct<kind:string,key:string,line:int,raw:string,method:string,client:string>>>,
-  overrides:array<string>>>"""
+FORMAT, VERSION = "normalized-facts", "2.0.0"
+SCHEMA = """format string, version string, parser string, source string, files array<struct<path:string, loc:int,
+  symbols:array<struct<id:string,name:string,kind:string,line:int,exported:boolean,bodyStart:int,bodyEnd:int,body_start:int,body_end:int>>,
+  imports:map<string,struct<specifier:string,original:string,deferred:boolean,type_only:boolean>>,
+  re_exports:array<struct<specifier:string,original:string,local_alias:string,type_only:boolean>>, used_names:array<string>,
+  calls:array<struct<from_symbol:string,callee_name:string,line:int,receiver_type:string>>,
+  io:struct<provides:array<struct<kind:string,key:string,line:int,symbol:string,response:struct<fields:array<struct<name:string,optional:boolean>>,complete:boolean>>>,
+    consumes:array<struct<kind:string,key:string,line:int,raw:string,method:string,client:string>>>,
+  degraded:boolean, overrides:array<string>>>"""
 
 
 def parse(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,18 +26,27 @@ def parse(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(F.col(f"`{key}`").alias("k"), F.from_json(F.col(f"`{text}`"), SCHEMA).alias("e"))
 
 
-def issues(parsed: DataFrame) -> DataFrame:
-    """(k, issue): why an envelope isn't valid; valid ones give no row."""
+def _parts(version: Column) -> Column:
+    """The three numbers of a version, missing ones 0; null if it is none."""
+    v = F.split(version, "[.]").cast("array<int>")
+    numbers = F.array(*[F.coalesce(F.get(v, F.lit(i)), F.lit(0)) for i in range(3)])
+    return F.when(version.rlike(r"^[0-9]{1,9}([.][0-9]{1,9}){0,2}$"), numbers)
+
+
+def issues(parsed: DataFrame, formats: tuple[str, ...] = (FORMAT,), newest: str = VERSION) -> DataFrame:
+    """(k, issue): why an envelope isn't valid; valid ones give no row. Versions are text, compared number by number."""
     paths = F.transform(F.coalesce("e.files", F.array()), lambda f: f["path"])
     spans = F.flatten(F.transform(F.coalesce("e.files", F.array()), lambda f: F.coalesce(f["symbols"], F.array())))
+    readable = F.col("e.format").isNotNull()
+    version = _parts(F.col("e.version"))
     found = [
-        F.when(F.col("e").isNull() | F.col("e.format").isNull(), "unreadable"),
-        F.when(F.col("e.format") != FORMAT, "wrong-format"),
-        F.when(F.col("e.version").isNull() & F.col("e.format").isNotNull(), "malformed-version"),
-        F.when(F.col("e.version") > VERSION, "newer-version"),
+        F.when(F.col("e").isNull() | ~readable, "unreadable"),
+        F.when(~F.col("e.format").isin(*formats), "wrong-format"),
+        F.when(version.isNull() & readable, "malformed-version"),
+        F.when(version > _parts(F.lit(newest)), "newer-version"),
         F.when(F.exists(paths, lambda p: p.isNull() | (p == "")), "empty-path"),
         F.when(F.size(F.array_distinct(paths)) < F.size(paths), "duplicate-path"),
-        F.when(F.exists(spans, lambda s: s["body_end"] < s["body_start"]), "body-ends-before-start"),
+        F.when(F.exists(spans, lambda s: F.coalesce(s["bodyEnd"], s["body_end"]) < F.coalesce(s["bodyStart"], s["body_start"])), "body-ends-before-start"),
     ]
     return parsed.select("k", F.explode(F.array_compact(F.array(*found))).alias("issue"))
 
@@ -48,7 +60,9 @@ def files(parsed: DataFrame) -> DataFrame:
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
-    return _files(parsed).select("source", "parser", F.col("f.path").alias("file"), F.explode("f.symbols").alias("s")).select("source", "parser", "file", "s.*")
+    return _files(parsed).select("source", "parser", F.col("f.path").alias("file"), F.explode("f.symbols").alias("s")).select(
+        "source", "parser", "file", "s.id", "s.name", "s.kind", "s.line", "s.exported", F.coalesce("s.bodyStart", "s.body_start").alias("body_start"), F.coalesce("s.bodyEnd", "s.body_end").alias("body_end")
+    )
 
 
 def provides(parsed: DataFrame) -> DataFrame:
@@ -60,7 +74,20 @@ def consumes(parsed: DataFrame) -> DataFrame:
 
 
 def imports(parsed: DataFrame) -> DataFrame:
-    return _files(parsed).select("source", "parser", F.col("f.path").alias("file"), F.explode("f.imports").alias("i")).select("source", "parser", "file", "i.*")
+    return _files(parsed).select("source", "parser", F.col("f.path").alias("file"), F.explode("f.imports").alias("local", "i")).select("source", "parser", "file", "local", "i.*")
+
+
+def re_exports(parsed: DataFrame) -> DataFrame:
+    return _files(parsed).select("source", "parser", F.col("f.path").alias("file"), F.explode("f.re_exports").alias("r")).select("source", "parser", "file", "r.*")
+
+
+def calls(parsed: DataFrame) -> DataFrame:
+    return _files(parsed).select("source", "parser", F.col("f.path").alias("file"), F.explode("f.calls").alias("c")).select("source", "parser", "file", "c.*")
+
+
+def response_fields(parsed: DataFrame) -> DataFrame:
+    """(source, key, field, optional): the declared fields of what a route answers."""
+    return provides(parsed).select("source", "key", F.explode("response.fields").alias("x")).select("source", "key", F.col("x.name").alias("field"), "x.optional")
 
 
 def overlay(native: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:

@@ -152,11 +152,23 @@ def test_git_log(spark):
 
 
 def test_envelopes(spark):
-    good = '{"format": "normalized-facts", "version": 1, "parser": "p", "source": "s", "files": [{"path": "a", "loc": 3, "io": {"provides": [{"kind": "http", "key": "GET /x", "line": 2}]}}]}'
-    bad = '{"format": "other", "version": 9, "files": [{"path": ""}, {"path": ""}]}'
+    good = '{"format": "normalized-facts", "version": "1.29", "parser": "p", "source": "s", "files": [{"path": "a", "loc": 3, "io": {"provides": [{"kind": "http", "key": "GET /x", "line": 2}]}}]}'
+    bad = '{"format": "other", "version": "9.0.1", "files": [{"path": ""}, {"path": ""}]}'
     parsed = envelope.parse(spark.createDataFrame([(1, good), (2, bad), (3, "no"), (4, None)], "k int, t string"), "k", "t")
     assert rows(envelope.issues(parsed)) == [(2, "duplicate-path"), (2, "empty-path"), (2, "newer-version"), (2, "wrong-format"), (3, "unreadable"), (4, "unreadable")]
     assert rows(envelope.provides(parsed).select("file", "key")) == [("a", "GET /x")]
+    page = """{"format": "elsewhere", "version": "0.29.0", "parser": "lexical/1", "source": "old", "files": [{"path": "web/u.jsp", "loc": 86, "symbols": [
+      {"id": "web/u.jsp#get", "file": "web/u.jsp", "name": "get", "kind": "function", "line": 12, "exported": true, "bodyStart": 12, "bodyEnd": 20}],
+      "imports": {"db": {"specifier": "./db", "original": "*"}}, "re_exports": [{"specifier": "./x", "original": "a", "local_alias": "b"}], "used_names": ["get"],
+      "calls": [{"from_symbol": "web/u.jsp#get", "callee_name": "render", "line": 15}], "degraded": false,
+      "io": {"provides": [{"kind": "http", "key": "GET /u", "file": "web/u.jsp", "line": 12, "response": {"fields": [{"name": "email", "optional": true}], "complete": true}}],
+             "consumes": [{"kind": "db-table", "key": "table:users", "line": 18, "raw": null}]}}]}"""
+    real = envelope.parse(spark.createDataFrame([(1, page), (2, page.replace("0.29.0", "0.30")), (3, page.replace("0.29.0", "x.1"))], "k int, t string"), "k", "t")
+    assert rows(envelope.issues(real, ("elsewhere",), "0.29.0")) == [(2, "newer-version"), (3, "malformed-version")]
+    one = real.where("k = 1")
+    assert rows(envelope.symbols(one).select("name", "body_start", "body_end")) == [("get", 12, 20)] and rows(envelope.imports(one).select("local", "specifier")) == [("db", "./db")]
+    assert rows(envelope.re_exports(one).select("local_alias")) == [("b",)] and rows(envelope.calls(one).select("callee_name", "line")) == [("render", 15)]
+    assert rows(envelope.response_fields(one)) == [("old", "GET /u", "email", True)] and rows(envelope.consumes(one).select("key")) == [("table:users",)]
 
 
 def test_lexical_readers(spark):
