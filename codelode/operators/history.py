@@ -85,7 +85,9 @@ def node_metrics(stats: DataFrame, loc: DataFrame, degrees: DataFrame, now: Colu
     zero = {c: 0 for c in ("change_count", "churn", "author_count", "recent_change_count", "recent_churn", "loc", "fan_in", "fan_out")}
     n = n.fillna(zero)
     n = n.where((F.col("change_count") + F.col("churn") + F.col("loc") + F.col("fan_in") + F.col("fan_out")) > 0)
-    median = n.where(F.col("churn") > 0).agg(F.median("churn").alias("median_churn"))
+    # of a row per distinct churn with its count, read from the history alone: the three-way join is not repeated for it
+    counts = stats.where(F.col("churn") > 0).groupBy("churn").agg(F.count("*").alias("n"))
+    median = counts.agg(F.percentile("churn", F.lit(0.5), F.col("n")).alias("median_churn"))
     n = n.join(F.broadcast(median), how="left")  # one row
     risk = 0.4 * F.col("change_count") + 0.2 * F.col("churn") + 0.4 * (F.col("fan_in") + F.col("fan_out"))
     hotspot = F.when(F.col("change_count") >= 2, F.col("change_count") * F.col("loc")).otherwise(0)
